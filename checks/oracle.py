@@ -167,12 +167,18 @@ STEPS = {
         select *, cost_per_beneficiary - t anomaly_score,
           (cost_per_beneficiary > t)::int is_anomaly
         from ready, (select quantile_cont(cost_per_beneficiary, 0.95) t from ready)""",
-    "scaled": f"""
-        select country_code, cluster_name, "year",
-          {", ".join(
-              f"({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1) {c}"
+    # no spread beyond rounding noise counts as none, and scales by one
+    "spread": f"""
+        select {", ".join(
+              f"""avg({c}) m_{c}, case when var_pop({c}) <= count(*) * 2.220446049250313e-16
+                * var_pop({c}) + (count(*) * avg({c}) * 2.220446049250313e-16) ** 2
+                then 1 else stddev_pop({c}) end s_{c}"""
               for c in ML_FEATURES)}
         from ready""",
+    "scaled": f"""
+        select country_code, cluster_name, "year",
+          {", ".join(f"({c} - m_{c}) / s_{c} {c}" for c in ML_FEATURES)}
+        from ready, spread""",
     "lines": """
         select country_code, cluster_name,
           coalesce(sum(total_requirements_usd), 0) requirements,
@@ -313,7 +319,7 @@ def _allocation(objective: str, budget: str, body: str) -> str:
 FORTY = "select 0.4 * sum(requirements) from lines"
 ALLOC_COLUMNS = (
     "country_code, cluster_name, "
-    + r(2, "requirements", "targeted", "allocated_usd", "expected_beneficiaries")
+    + r(3, "requirements", "targeted", "allocated_usd", "expected_beneficiaries")
     + ", "
     + r(6, "impact_per_dollar", "allocation")
 )
@@ -549,7 +555,7 @@ SQL: dict[str, str] = {
         where country_code in (from first_countries) and cluster_name in (from first_clusters)
           and funding_gap_pct >= 0 and is_anomaly = 1""",
     "kpis": _with("costly") + f""", k as ({_kpis("features", "costly")})
-        select {r(2, "total_requirements_usd", "total_funding_usd", "total_gap_usd",
+        select {r(4, "total_requirements_usd", "total_funding_usd", "total_gap_usd",
                   "total_inneed")}, {r(6, "avg_coverage_pct")}, anomalies_flagged from k""",
     "kpis_filtered": _with("costly") + f""", flags as (
           select * from costly
@@ -561,14 +567,14 @@ SQL: dict[str, str] = {
           round(total_gap_usd / 1e9, 6) + 0.0 gap_bn, {r(6, "avg_coverage_pct")},
           round(total_inneed / 1e6, 6) + 0.0 inneed_mn, anomalies_flagged from k""",
     "gap_by_country": _with("features") + f""", m as ({_money_by("country_code")})
-        select country_code, {r(3, "requirements", "funding")},
+        select country_code, {r(4, "requirements", "funding")},
           round((requirements - funding) / (requirements + 1e-9) * 100, 6) + 0.0 gap_pct
         from m order by (requirements - funding) / (requirements + 1e-9) desc, 1 limit 20""",
     "coverage_by_cluster": _with("features") + f""", m as ({_money_by("cluster_name")})
-        select cluster_name, {r(3, "requirements", "funding")},
+        select cluster_name, {r(4, "requirements", "funding")},
           round(funding / (requirements + 1e-9) * 100, 6) + 0.0 coverage from m""",
     "yearly_trend": _with("features") + f""", m as ({_money_by('"year"')})
-        select "year", {r(3, "requirements", "funding")},
+        select "year", {r(4, "requirements", "funding")},
           round(requirements / 1e9, 8) + 0.0 requirements_bn,
           round(funding / 1e9, 8) + 0.0 funding_bn from m""",
     "metric_map": f"{_with('features')} " + _union(
@@ -580,11 +586,11 @@ SQL: dict[str, str] = {
         select project_code, latitude, longitude, "cluster", budget, org_name from projects
         where latitude is not null and longitude is not null order by 1 limit 1000""",
     "country_bubbles": _with("features") + """
-        select country_code, round(sum(total_requirements_usd), 3) + 0.0 requirements,
-          round(sum(total_funding_usd), 3) + 0.0 funding,
-          round(sum(total_inneed), 3) + 0.0 inneed from features group by 1""",
+        select country_code, round(sum(total_requirements_usd), 4) + 0.0 requirements,
+          round(sum(total_funding_usd), 4) + 0.0 funding,
+          round(sum(total_inneed), 4) + 0.0 inneed from features group by 1""",
     "bubble_diagonal": _with("features") + f""", m as ({_money_by("country_code")})
-        select round(greatest(max(requirements), max(funding)), 3) + 0.0 max_val from m""",
+        select round(greatest(max(requirements), max(funding)), 4) + 0.0 max_val from m""",
     "coverage_heatmap": _heatmap(),
     "contributions_filtered": _with("last_years") + f"""
         select country_name, "year", {r(3, "total_pledged_usd", "total_paid_usd")}, num_donors
@@ -615,7 +621,7 @@ SQL: dict[str, str] = {
     "funded_lines": _allocation(
         "impact", FORTY, f"select {ALLOC_COLUMNS} from alloc a where a.allocation > 0.01"),
     "available_funding": _with("features")
-    + "select round(sum(total_funding_usd), 3) + 0.0 budget_usd from features",
+    + "select round(sum(total_funding_usd), 4) + 0.0 budget_usd from features",
     "ml_ready": _with("ready") + f"""
         select {KEY}, {r(4, "total_requirements_usd", "total_funding_usd", *ML_FEATURES)}
         from ready""",

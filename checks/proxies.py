@@ -39,11 +39,14 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = money("l_extendedprice")
     discount = F.col("l_discount").cast("decimal(4,2)")
     key = F.col("n_nationkey")
-    rows = (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    # orders find their nation first, so the line items are shuffled by part and by order only
+    placed = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("o_orderkey", F.year("o_orderdate").alias("_year"), "n_nationkey", "n_name")
+    )
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
+        placed, F.col("l_orderkey") == F.col("o_orderkey")
     )
     unrequired = (F.col("p_type") == "ECONOMY") & (key % 5 == 0)
     unfunded = (key % 7 == 0) & (F.col("p_type") == "PROMO")
@@ -57,7 +60,7 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("country_code"),
         F.col("p_size").cast("string").alias("sector_cluster_code"),
         F.col("p_type").alias("sector_cluster_name"),
-        F.year("o_orderdate").alias("date_year"),
+        F.col("_year").alias("date_year"),
         F.concat(F.lit("Appeal "), "o_orderkey").alias("activity_appeal_name"),
         F.col("o_orderkey").cast("string").alias("activity_appeal_id_fts_internal"),
         F.when(unrequired, F.lit(Decimal("0.00")))

@@ -60,18 +60,24 @@ def stored(
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = proxies.raw_sources(spark, sf_dir)
-    return stored(spark, sf_dir, "features", lambda: tables.features_table(raw))
+    def build() -> DataFrame:
+        return tables.features_table(proxies.raw_sources(spark, sf_dir))
+
+    return stored(spark, sf_dir, "features", build)
 
 
 def contribution_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = proxies.raw_sources(spark, sf_dir)
-    return stored(spark, sf_dir, "contributions", lambda: tables.contributions_table(raw))
+    def build() -> DataFrame:
+        return tables.contributions_table(proxies.raw_sources(spark, sf_dir))
+
+    return stored(spark, sf_dir, "contributions", build)
 
 
 def project_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = proxies.raw_sources(spark, sf_dir)
-    return stored(spark, sf_dir, "projects", lambda: tables.projects_table(raw))
+    def build() -> DataFrame:
+        return tables.projects_table(proxies.raw_sources(spark, sf_dir))
+
+    return stored(spark, sf_dir, "projects", build)
 
 
 def anomaly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +337,7 @@ def filtered_anomalies(spark, sf_dir):
 def kpis(spark, sf_dir):
     row = serving.kpis(feature_rows(spark, sf_dir), costly_rows(spark, sf_dir))
     sums = ["total_requirements_usd", "total_funding_usd", "total_gap_usd", "total_inneed"]
-    return rounded(rounded(row, sums, 2), ["avg_coverage_pct"], 6)
+    return rounded(rounded(row, sums, 4), ["avg_coverage_pct"], 6)
 
 
 def kpis_filtered(spark, sf_dir):
@@ -344,31 +350,23 @@ def kpis_filtered(spark, sf_dir):
 
 def gap_by_country(spark, sf_dir):
     by = serving.gap_by_country(feature_rows(spark, sf_dir))
-    return rounded(rounded(by, ["requirements", "funding"], 3), ["gap_pct"], 6)
+    return rounded(rounded(by, ["requirements", "funding"], 4), ["gap_pct"], 6)
 
 
 def coverage_by_cluster(spark, sf_dir):
     by = serving.coverage_by_cluster(feature_rows(spark, sf_dir))
-    return rounded(rounded(by, ["requirements", "funding"], 3), ["coverage"], 6)
+    return rounded(rounded(by, ["requirements", "funding"], 4), ["coverage"], 6)
 
 
 def yearly_trend(spark, sf_dir):
     by = serving.yearly_trend(feature_rows(spark, sf_dir))
-    return rounded(rounded(by, ["requirements", "funding"], 3), by.columns[3:], 8)
+    return rounded(rounded(by, ["requirements", "funding"], 4), by.columns[3:], 8)
 
 
 def metric_map(spark, sf_dir):
-    """Every map metric per country, one row per metric and country."""
-    rows = feature_rows(spark, sf_dir)
-    maps = [
-        serving.metric_map(rows, m).select(F.lit(m).alias("metric"), "country_code", "value")
-        for m in serving.MAP_METRICS
-    ]
-    out = maps[0]
-    for other in maps[1:]:
-        out = out.unionByName(other)
-    pretty = out.withColumn("label", display.prettify(F.col("metric")))
-    return rounded(pretty, ["value"], 4)
+    """Every map metric per country."""
+    means = serving.metric_map(feature_rows(spark, sf_dir), serving.MAP_METRICS)
+    return rounded(means.withColumn("label", display.prettify(F.col("metric"))), ["value"], 4)
 
 
 def project_points(spark, sf_dir):
@@ -377,12 +375,12 @@ def project_points(spark, sf_dir):
 
 def country_bubbles(spark, sf_dir):
     by = serving.country_bubbles(feature_rows(spark, sf_dir))
-    return rounded(by, ["requirements", "funding", "inneed"], 3)
+    return rounded(by, ["requirements", "funding", "inneed"], 4)
 
 
 def bubble_diagonal(spark, sf_dir):
     by = serving.country_bubbles(feature_rows(spark, sf_dir))
-    return rounded(serving.bubble_diagonal(by), ["max_val"], 3)
+    return rounded(serving.bubble_diagonal(by), ["max_val"], 4)
 
 
 def coverage_heatmap(spark, sf_dir):
@@ -421,7 +419,7 @@ def _allocated(spark, sf_dir, objective):
 
 def _rounded_allocation(df):
     amounts = ["requirements", "targeted", "allocated_usd", "expected_beneficiaries"]
-    return rounded(rounded(df, amounts, 2), ["impact_per_dollar", "allocation"], 6)
+    return rounded(rounded(df, amounts, 3), ["impact_per_dollar", "allocation"], 6)
 
 
 def allocate_impact(spark, sf_dir):
@@ -452,7 +450,7 @@ def funded_lines(spark, sf_dir):
 
 def available_funding(spark, sf_dir):
     found = allocate.available_funding(feature_rows(spark, sf_dir))
-    return rounded(found, ["budget_usd"], 3)
+    return rounded(found, ["budget_usd"], 4)
 
 
 # models

@@ -53,37 +53,69 @@ def spread_centers(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarra
     return x[chosen]
 
 
-def _step(vectors: DataFrame, columns: list[str], runs: dict[int, np.ndarray]) -> pd.DataFrame:
-    """(run, center, n, cost, s0, s1, …) for the current centres: one scan, one shuffle."""
-    sums = [f"s{i}" for i in range(len(columns))]
+def _sums(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """(n, cost, sums…) per centre over the rows nearest to it."""
+    row = np.arange(len(x))
+    far = _squared_distances(x, centers)
+    label = far.argmin(1)
+    member = np.zeros_like(far)
+    member[row, label] = 1.0
+    return member.T @ np.column_stack([np.ones(len(x)), far[row, label], x])
+
+
+def _moved(sums: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, float]:
+    """New centres, and by how much they moved; a centre without rows stays."""
+    n = sums[:, :1]
+    new = np.where(n > 0, sums[:, 2:] / np.maximum(n, 1.0), centers)
+    return new, float(((new - centers) ** 2).sum())
+
+
+def _first_centers(
+    pool: DataFrame, columns: list[str], plan: list[tuple[int, int]], seed: int, max_steps: int
+) -> dict[int, np.ndarray]:
+    """Centres for every (k, restart), seeded and settled on the pool alone; runs in parallel."""
+    points = _matrix(pool.orderBy("_digest").select(*columns).toPandas()[c] for c in columns)
+    context = pool.sparkSession.sparkContext
+    shared = context.broadcast(points)
+
+    def settle_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run in (int(i) for batch in batches for i in batch["id"]):
+            k, restart = plan[run]
+            rng = np.random.default_rng([seed, k, restart])
+            centers, steps, shift = spread_centers(shared.value, k, rng), 0, np.inf
+            while shift > 0 and steps < max_steps:
+                centers, shift = _moved(_sums(shared.value, centers), centers)
+                steps += 1
+            yield pd.DataFrame({"run": [run], "center": [centers.ravel().tolist()]})
+
+    tasks = min(len(plan), context.defaultParallelism)
+    runs = pool.sparkSession.range(0, len(plan), 1, tasks)
+    found = runs.mapInPandas(settle_runs, "run int, center array<double>").collect()
+    shared.unpersist()
+    return {r["run"]: np.reshape(r["center"], (-1, len(columns))) for r in sorted(found)}
+
+
+def _step(vectors: DataFrame, columns: list[str], runs: dict[int, np.ndarray]) -> dict:
+    """(n, cost, sums…) per centre of every run: one scan, one shuffle of a row per centre."""
+    measures = ["n", "cost", *[f"s{i}" for i in range(len(columns))]]
+    where = [(run, center) for run, centers in runs.items() for center in range(len(centers))]
     shared = vectors.sparkSession.sparkContext.broadcast(runs)
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {
-            run: np.zeros((len(c), 2 + len(columns))) for run, c in shared.value.items()
-        }  # n, cost, sums
+        held = {run: np.zeros((len(c), len(measures))) for run, c in shared.value.items()}
         for batch in batches:
             x = _matrix(batch[c] for c in columns)
             for run, centers in shared.value.items():
-                far = _squared_distances(x, centers)
-                label = far.argmin(1)
-                member = np.zeros_like(far)
-                member[np.arange(len(x)), label] = 1.0
-                held[run][:, 0] += member.sum(0)
-                held[run][:, 1] += member.T @ far[np.arange(len(x)), label]
-                held[run][:, 2:] += member.T @ x
-        for run, table in held.items():
-            part = pd.DataFrame(table, columns=["n", "cost", *sums])
-            part.insert(0, "center", np.arange(len(table)))
-            part.insert(0, "run", run)
-            yield part
-
-    schema = "run int, center int, " + ", ".join(f"{c} double" for c in ["n", "cost", *sums])
+                held[run] += _sums(x, centers)
+        part = pd.DataFrame(where, columns=["run", "center"], dtype=np.int32)
+        yield part.join(pd.DataFrame(np.concatenate(list(held.values())), columns=measures))
+
+    schema = "run int, center int, " + ", ".join(f"{c} double" for c in measures)
     partial = vectors.select(*columns).mapInPandas(add_up, schema)
-    total = partial.groupBy("run", "center").agg(*[F.sum(c).alias(c) for c in ["n", "cost", *sums]])
+    total = partial.groupBy("run", "center").agg(*[F.sum(c).alias(c) for c in measures])
     found = total.toPandas().sort_values(["run", "center"])
     shared.unpersist()
-    return found
+    return {run: part[measures].to_numpy(np.float64) for run, part in found.groupby("run")}
 
 
 @dataclass(frozen=True)
@@ -118,17 +150,14 @@ def fit_peers(
 ) -> dict[int, PeerModel]:
     """The best of ``restarts`` fits for every k.
 
-    First centres are drawn from a bounded pool of rows; every step then runs over all rows.
-    ``scaled`` is kept in memory while it is fitted; blocks that are lost are computed again.
+    First centres are seeded and settled on a bounded pool of rows, which leaves few steps to do
+    on the whole data; those run over all rows until nothing moves. ``scaled`` is kept in memory
+    meanwhile; blocks that are lost are computed again.
     """
-    names, ks = list(columns), [k for k in ks if k <= rows]
-    pool = sample_rows_by_key(scaled, key, rows, SEED_POOL, seed).orderBy("_digest")
-    points = _matrix(pool.select(*names).toPandas()[c] for c in names)
-    runs = {}
-    for k in ks:
-        for restart in range(restarts):
-            rng = np.random.default_rng([seed, k, restart])
-            runs[len(runs)] = spread_centers(points, k, rng)
+    names = list(columns)
+    plan = [(k, restart) for k in ks if k <= rows for restart in range(restarts)]
+    pool = sample_rows_by_key(scaled, key, rows, SEED_POOL, seed)
+    runs = _first_centers(pool, names, plan, seed, max_steps)
     steps = dict.fromkeys(runs, 0)
     vectors = scaled.select(*names).persist()
     try:
@@ -136,16 +165,13 @@ def fit_peers(
         for _ in range(max_steps):
             if not active:
                 break
-            found = _step(vectors, names, active)
-            for run, part in found.groupby("run"):
-                old, table = runs[run], part.to_numpy(np.float64)
-                n = table[:, 2:3]
-                new = np.where(n > 0, table[:, 4:] / np.maximum(n, 1.0), old)
+            for run, sums in _step(vectors, names, active).items():
                 steps[run] += 1
-                runs[run] = active[run] = new
-                if ((new - old) ** 2).sum() <= tolerance:
+                runs[run], shift = _moved(sums, runs[run])
+                active[run] = runs[run]
+                if shift <= tolerance:
                     del active[run]
-        final = _step(vectors, names, runs).groupby("run")["cost"].sum()
+        final = {run: sums[:, 1].sum() for run, sums in _step(vectors, names, runs).items()}
     finally:
         vectors.unpersist()
     best: dict[int, PeerModel] = {}

@@ -22,6 +22,8 @@ ML_FEATURES = [
     "sector_funding_efficiency_pct",
     "project_vs_sector_avg",
 ]
+# Fixed value: the spacing of doubles at one.
+EPSILON = 2.220446049250313e-16
 ML_COLUMNS = [*KEY, "total_requirements_usd", "total_funding_usd"]
 
 
@@ -75,7 +77,14 @@ def fit_scaler(df: DataFrame, columns: Iterable[str] = ML_FEATURES) -> Scaler:
         *[F.avg(c) for c in names],
         *[F.stddev_pop(c) for c in names],
     ).first()
-    means, deviations = found[1 : 1 + len(names)], found[1 + len(names) :]
-    if found[0] == 0:
+    rows, means, deviations = found[0], found[1 : 1 + len(names)], found[1 + len(names) :]
+    if rows == 0:
         raise ValueError("no rows to scale")
-    return Scaler(names, found[0], list(means), list(deviations))
+    spread = [0.0 if _is_noise(s, m, rows) else s for m, s in zip(means, deviations)]
+    return Scaler(names, rows, list(means), spread)
+
+
+def _is_noise(deviation: float, mean: float, rows: int) -> bool:
+    """Whether a spread is no more than rounding leaves behind on equal values."""
+    variance = deviation**2
+    return variance <= rows * EPSILON * variance + (rows * mean * EPSILON) ** 2

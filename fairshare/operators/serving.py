@@ -107,10 +107,12 @@ def yearly_trend(features: DataFrame) -> DataFrame:
     )
 
 
-def metric_map(features: DataFrame, metric: str = "funding_gap_pct") -> DataFrame:
-    """The mean of a metric per country."""
+def metric_map(features: DataFrame, metrics: Iterable[str] = MAP_METRICS[:1]) -> DataFrame:
+    """(country_code, metric, value): the mean per country of each metric, from one grouping."""
+    names = list(metrics)
     by = features.na.drop(subset=["country_code"]).groupBy("country_code")
-    return by.agg(F.avg(metric).alias("value"))
+    means = by.agg(*[F.avg(m).alias(m) for m in names])
+    return means.unpivot(["country_code"], names, "metric", "value")
 
 
 def project_points(projects: DataFrame, n: int = 1000) -> DataFrame:
