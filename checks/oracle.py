@@ -578,7 +578,7 @@ SQL: dict[str, str] = {
           round(requirements / 1e9, 8) + 0.0 requirements_bn,
           round(funding / 1e9, 8) + 0.0 funding_bn from m""",
     "metric_map": f"{_with('features')} " + _union(
-        f"""select '{m}' metric, country_code, round(avg({m}), 4) + 0.0 "value",
+        f"""select '{m}' metric, country_code, round(avg({m}) * (1 + 1e-12), 4) + 0.0 "value",
         '{m.replace("_", " ").title()}' "label" from features group by 2"""
         for m in MAP_METRICS
     ),

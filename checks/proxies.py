@@ -10,12 +10,20 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 NAMES = ["nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def money(name: str) -> Column:
@@ -176,12 +184,18 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def feature_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The raw sources of the feature table."""
     return {
         "fts_requirements": requirements(spark, sf_dir),
         "hno": needs(spark, sf_dir),
         "population": population(spark, sf_dir),
         "emdat": disasters(spark, sf_dir),
+    }
+
+
+def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return feature_sources(spark, sf_dir) | {
         "contributions": contributions(spark, sf_dir),
         "projects": projects(spark, sf_dir),
     }

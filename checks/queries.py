@@ -61,21 +61,21 @@ def stored(
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        return tables.features_table(proxies.raw_sources(spark, sf_dir))
+        return tables.features_table(proxies.feature_sources(spark, sf_dir))
 
     return stored(spark, sf_dir, "features", build)
 
 
 def contribution_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        return tables.contributions_table(proxies.raw_sources(spark, sf_dir))
+        return tables.contributions_table({"contributions": proxies.contributions(spark, sf_dir)})
 
     return stored(spark, sf_dir, "contributions", build)
 
 
 def project_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        return tables.projects_table(proxies.raw_sources(spark, sf_dir))
+        return tables.projects_table({"projects": proxies.projects(spark, sf_dir)})
 
     return stored(spark, sf_dir, "projects", build)
 
@@ -232,7 +232,7 @@ def sector_totals(spark, sf_dir):
 
 def feature_table(spark, sf_dir):
     """The whole feature build, from the given tables to the last ratio."""
-    built = tables.features_table(proxies.raw_sources(spark, sf_dir))
+    built = tables.features_table(proxies.feature_sources(spark, sf_dir))
     kept = built.select(*features.KEY, "num_appeals", "num_disasters_5yr", *features.RATIOS)
     return rounded(kept, features.RATIOS, 5)
 
@@ -364,9 +364,10 @@ def yearly_trend(spark, sf_dir):
 
 
 def metric_map(spark, sf_dir):
-    """Every map metric per country."""
+    """Every map metric per country; ties of the rounding all go up."""
     means = serving.metric_map(feature_rows(spark, sf_dir), serving.MAP_METRICS)
-    return rounded(means.withColumn("label", display.prettify(F.col("metric"))), ["value"], 4)
+    lifted = means.withColumn("value", F.col("value") * (1 + 1e-12))
+    return rounded(lifted.withColumn("label", display.prettify(F.col("metric"))), ["value"], 4)
 
 
 def project_points(spark, sf_dir):
