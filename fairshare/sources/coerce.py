@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairshare.functions.parse import WHOLE, number_text, safe_double
+from fairshare.functions.parse import NUMBER, WHOLE, number_text, safe_double
 
 # Code columns that stay text, compared in lower case.
 ID_COLUMNS = (
@@ -38,9 +38,9 @@ def safe_coerce(
         return df
     counts = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(texts):
-        c = F.col(f"`{name}`")
-        counts.append(F.count(safe_double(c)).alias(f"n{i}"))
-        counts.append(F.count_if(number_text(c).rlike(WHOLE)).alias(f"w{i}"))
+        text = number_text(F.col(f"`{name}`"))
+        counts.append(F.count_if(text.rlike(NUMBER)).alias(f"n{i}"))
+        counts.append(F.count_if(text.rlike(WHOLE)).alias(f"w{i}"))
     found = df.agg(*counts).first()
     rows = max(found["rows"], 1)
     casts = {}

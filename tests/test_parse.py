@@ -87,3 +87,10 @@ def test_display(rows):
         display.prettify(F.col("n")),
     ).first()
     assert tuple(got) == ("$1,234,567", "12.3%", "12.3%", "0.123", "1,234,567", "Funding Gap Pct")
+
+
+def test_white_space_around_numbers(rows):
+    df = rows("t string", (" \t2020\r",), ("20 20",), ("2,020 ",))
+    for kind in ("int", "year", "number", "double"):
+        got = [r[0] for r in df.select(typed(df, "t", kind)).collect()]
+        assert got == [2020, None, 2020]
