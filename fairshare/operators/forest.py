@@ -47,7 +47,7 @@ def mean_path(n: int) -> float:
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
     """Node arrays of one tree over the sample ``x``; a leaf has feature -1 and its path length."""
-    limit = math.ceil(math.log2(max(len(x), 2)))
+    limit = height(len(x))
     nodes: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "right", "path")}
     todo = [(np.arange(len(x)), 0, -1, "left")]
     while todo:
@@ -73,6 +73,33 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
     return nodes
 
 
+def height(n: int) -> int:
+    """The depth at which trees over ``n`` rows stop."""
+    return math.ceil(math.log2(max(n, 2)))
+
+
+def _slots(tree, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, threshold, path) of a tree laid out level by level, children at 2i+1 and 2i+2.
+
+    A leaf above the last level sends everything left, down to the slot that holds its path.
+    """
+    inner = 2**depth - 1
+    feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
+    path = np.zeros(inner + 1)
+    todo = [(0, 0)]
+    while todo:
+        node, slot = todo.pop()
+        if slot >= inner:
+            path[slot - inner] = tree["path"][node]
+        elif tree["feature"][node] < 0:
+            todo.append((node, 2 * slot + 1))
+        else:
+            feature[slot], threshold[slot] = tree["feature"][node], tree["threshold"][node]
+            todo.append((tree["left"][node], 2 * slot + 1))
+            todo.append((tree["right"][node], 2 * slot + 2))
+    return feature, threshold, path
+
+
 def fit_forest(
     df: DataFrame,
     rows: int,
@@ -124,40 +151,25 @@ def score(
     ``rows`` is the number of rows the forest was fitted on.
     """
     names = list(features)
-    # at most trees * (2 * sample - 1) nodes
-    trees = [
-        tuple(
-            np.asarray(t[k], dtype)
-            for k, dtype in (
-                ("feature", np.int64),
-                ("threshold", np.float64),
-                ("left", np.int64),
-                ("right", np.int64),
-                ("path", np.float64),
-            )
-        )
-        for t in forest.orderBy("tree").collect()
-    ]
+    depth = height(min(sample, rows))
+    # trees * 2 ** (depth + 1) slots, whatever the number of rows
+    trees = [_slots(t, depth) for t in forest.orderBy("tree").collect()]
     norm = mean_path(min(sample, rows)) or 1.0
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
     def isolation(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(np.float64) for c in columns])
-        at_row = np.arange(len(x))
-        depth = np.zeros(len(x))
-        for feature, threshold, left, right, path in shared.value:
-            node = np.zeros(len(x), np.int64)
-            while True:
-                split = feature[node]
-                inner = split >= 0
-                if not inner.any():
-                    break
-                goes_left = x[at_row, split] <= threshold[node]
-                below = np.where(goes_left, left[node], right[node])
-                node = np.where(inner, below, node)
-            depth += path[node]
-        return pd.Series(2.0 ** (-depth / len(shared.value) / norm))
+        values = np.concatenate([c.to_numpy(np.float64) for c in columns])
+        rows = np.arange(len(columns[0]))
+        total = np.zeros(len(rows))
+        for start, threshold, path in shared.value:
+            offset = start * len(rows)
+            slot = np.zeros(len(rows), np.int64)
+            for _ in range(depth):
+                right = values.take(offset.take(slot) + rows) > threshold.take(slot)
+                slot = 2 * slot + 1 + right
+            total += path.take(slot - len(start))
+        return pd.Series(2.0 ** (-total / len(shared.value) / norm))
 
     return df.withColumn(into, isolation(*[F.col(c) for c in names]))
 

@@ -26,7 +26,7 @@ DEFAULT_K = 8
 SEED = 42
 MAX_STEPS = 300
 TOLERANCE = 1e-4
-SEED_POOL = 4096
+SEED_POOL = 16_384
 SILHOUETTE_ROWS = 5000
 BLOCK = 500
 
@@ -53,14 +53,24 @@ def spread_centers(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarra
     return x[chosen]
 
 
-def _sums(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """(n, cost, sums…) per centre over the rows nearest to it."""
-    row = np.arange(len(x))
-    far = _squared_distances(x, centers)
-    label = far.argmin(1)
-    member = np.zeros_like(far)
-    member[row, label] = 1.0
-    return member.T @ np.column_stack([np.ones(len(x)), far[row, label], x])
+def _summable(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows laid out for ``_sums``: one line per column, and (1, squared length, columns…)."""
+    return np.ascontiguousarray(x.T), np.column_stack([np.ones(len(x)), (x * x).sum(1), x])
+
+
+def _sums(layout: tuple[np.ndarray, np.ndarray], centers: np.ndarray) -> np.ndarray:
+    """(n, cost, sums…) per centre over the rows nearest to it; ties go to the first centre."""
+    lines, rows = layout
+    # squared distance less the squared length of the row, which does not change the order
+    far = (centers * centers).sum(1)[:, None] - 2.0 * (centers @ lines)
+    least = far.min(0)
+    member = far == least
+    if np.count_nonzero(member) != len(rows):
+        member &= member.cumsum(0) == 1
+    member = member.astype(np.float64)
+    out = member @ rows
+    out[:, 1] = np.maximum(out[:, 1] + member @ least, 0.0)
+    return out
 
 
 def _moved(sums: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, float]:
@@ -79,12 +89,13 @@ def _first_centers(
     shared = context.broadcast(points)
 
     def settle_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        layout = _summable(shared.value)
         for run in (int(i) for batch in batches for i in batch["id"]):
             k, restart = plan[run]
             rng = np.random.default_rng([seed, k, restart])
             centers, steps, shift = spread_centers(shared.value, k, rng), 0, np.inf
             while shift > 0 and steps < max_steps:
-                centers, shift = _moved(_sums(shared.value, centers), centers)
+                centers, shift = _moved(_sums(layout, centers), centers)
                 steps += 1
             yield pd.DataFrame({"run": [run], "center": [centers.ravel().tolist()]})
 
@@ -104,9 +115,9 @@ def _step(vectors: DataFrame, columns: list[str], runs: dict[int, np.ndarray]) -
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = {run: np.zeros((len(c), len(measures))) for run, c in shared.value.items()}
         for batch in batches:
-            x = _matrix(batch[c] for c in columns)
+            layout = _summable(_matrix(batch[c] for c in columns))
             for run, centers in shared.value.items():
-                held[run] += _sums(x, centers)
+                held[run] += _sums(layout, centers)
         part = pd.DataFrame(where, columns=["run", "center"], dtype=np.int32)
         yield part.join(pd.DataFrame(np.concatenate(list(held.values())), columns=measures))
 

@@ -17,17 +17,24 @@ from fairshare.sources.tables import ensure_database, write_table
 
 @dataclass(frozen=True)
 class Dataset:
-    """A file, how to read it, and literal columns to add."""
+    """A file, how to read it, and literal columns to add.
+
+    ``multi_line`` states whether records span lines; ``None`` looks.
+    """
 
     path: str
     hxl: bool = False
     clean: Callable[[str | None], str] = plain_name
     constants: dict[str, Any] = field(default_factory=dict)
     threshold: float = 0.8
+    multi_line: bool | None = None
 
     def load(self, spark: SparkSession) -> DataFrame:
         """The raw frame, text columns not yet coerced."""
-        df = load_hxl(spark, self.path) if self.hxl else load_csv(spark, self.path, self.clean)
+        if self.hxl:
+            df = load_hxl(spark, self.path, self.multi_line)
+        else:
+            df = load_csv(spark, self.path, self.clean, self.multi_line)
         return df.withColumns({k: F.lit(v) for k, v in self.constants.items()})
 
 

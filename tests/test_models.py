@@ -207,3 +207,19 @@ def test_features_to_published_models(spark):
     trees = spark.table("models.model_forest")
     again = forest.score(df, trees, 400)
     assert trees.count() == 20 and again.where("raw_score is null").count() == 0
+
+
+def test_scores_follow_the_tree_node_by_node(spark, points):
+    trees = forest.fit_forest(points, 2000, COLUMNS, ["id"], trees=5, sample=64)
+    got = forest.score(points, trees, 2000, COLUMNS, sample=64).where("id < 50").collect()
+    grown = trees.collect()
+    for row in got:
+        paths = []
+        for tree in grown:
+            node = 0
+            while tree["feature"][node] >= 0:
+                low = row[COLUMNS[tree["feature"][node]]] <= tree["threshold"][node]
+                node = tree["left" if low else "right"][node]
+            paths.append(tree["path"][node])
+        wanted = 2 ** (-np.mean(paths) / forest.mean_path(64))
+        assert row["raw_score"] == pytest.approx(wanted)
