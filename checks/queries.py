@@ -513,13 +513,21 @@ def costly_radar(spark, sf_dir):
     return rounded(serving.radar(costly_rows(spark, sf_dir)), ["value"], 6)
 
 
+def few(df: DataFrame, most: int = 1000) -> list:
+    """The rows of a frame that must be small."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} centres")
+    return rows
+
+
 def _label_means(spark, sf_dir):
-    """One mean vector per label; labels are few."""
+    """One mean vector per label."""
     vectors = proxies.table(spark, sf_dir, "embeddings")
     means = vectors.groupBy("label").agg(
         vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("center")
     )
-    return [r["center"] for r in means.orderBy("label").collect()]
+    return [r["center"] for r in few(means.orderBy("label"))]
 
 
 def _near_labels(spark, sf_dir):
@@ -551,7 +559,7 @@ def peer_benchmark(spark, sf_dir):
     """Rows against their peers; a peer group gathers around the mean of a sector."""
     scaled = _scaled(spark, sf_dir)
     means = scaled.groupBy("cluster_name").agg(*[F.avg(c).alias(c) for c in scaling.ML_FEATURES])
-    centers = [r[1:] for r in means.orderBy("cluster_name").collect()]
+    centers = [r[1:] for r in few(means.orderBy("cluster_name"))]
     grouped = peers.nearest_center(scaled, scaling.ML_FEATURES, centers)
     gaps = [f"{c}_vs_peers" for c in scaling.ML_FEATURES]
     against = peers.peer_benchmark(grouped).select(*features.KEY, "cluster_id", *gaps)

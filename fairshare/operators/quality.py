@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairshare.operators.features import KEY
@@ -43,6 +43,8 @@ JOIN_COLUMNS = {
     "EMDAT (disaster_severity)": "disaster_severity_score",
 }
 
+SPREAD = {"min": "min", "max": "max", "avg": "avg", "std": "stddev"}
+
 SAMPLE_COLUMNS = [
     "country_code", "cluster_name", "year",
     "total_requirements_usd", "total_funding_usd",
@@ -51,62 +53,66 @@ SAMPLE_COLUMNS = [
 ]
 
 
-def _share(part: Column) -> Column:
-    return F.coalesce(F.try_divide(part, F.col("rows")) * 100, F.lit(0.0))
+# The checks are SQL texts: a profile holds many small expressions, and each is one call this way.
 
 
-def _grade(good: Column, fair: Column) -> Column:
-    return F.when(good, "ok").when(fair, "warn").otherwise("fail")
+def _share(part: str) -> str:
+    return f"coalesce(try_divide({part}, rows) * 100, 0D)"
 
 
-def _spread(profile: DataFrame, rows: list[Column]) -> DataFrame:
-    """One output row per struct, all read from the single profile row."""
-    return profile.select(F.inline(F.array(*rows)))
+def _grade(good: str, fair: str) -> str:
+    return f"CASE WHEN {good} THEN 'ok' WHEN {fair} THEN 'warn' ELSE 'fail' END"
 
 
-def _profile(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in measures.items()]
-    )
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _present(df: DataFrame, columns: Iterable[str]) -> list[str]:
     return [c for c in columns if c in df.columns]
 
 
-def _null_measures(columns):
-    return {f"nulls_{c}": F.count_if(F.col(c).isNull()) for c in columns}
+def _profile(df: DataFrame, measures: dict[str, str]) -> DataFrame:
+    """One row of measures."""
+    return df.agg(
+        F.expr("count(1) AS rows"), *[F.expr(f"{sql} AS {name}") for name, sql in measures.items()]
+    )
+
+
+def _spread(profile: DataFrame, rows: list[dict[str, str]]) -> DataFrame:
+    """One output row per dict of column name to SQL, all read from the single profile row."""
+    structs = [
+        "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in row.items()) + ")"
+        for row in rows
+    ]
+    return profile.select(F.expr(f"inline(array({', '.join(structs)}))"))
+
+
+def _null_measures(columns: Iterable[str]) -> dict[str, str]:
+    return {f"nulls_{c}": f"count_if({c} IS NULL)" for c in columns}
 
 
-def _range_measures(columns):
+def _range_measures(columns: Iterable[str]) -> dict[str, str]:
     out = {}
     for c in columns:
-        value = F.col(c).cast("double")
-        out[f"min_{c}"] = F.min(value)
-        out[f"max_{c}"] = F.max(value)
-        out[f"avg_{c}"] = F.avg(value)
-        out[f"std_{c}"] = F.stddev(value)
-        out[f"neg_{c}"] = F.count_if(value < 0)
+        value = f"CAST({c} AS double)"
+        out |= {f"{name}_{c}": f"{fn}({value})" for name, fn in SPREAD.items()}
+        out[f"neg_{c}"] = f"count_if({c} < 0)"
     return out
 
 
-def _zero_measures(columns):
-    return {f"zeros_{c}": F.count_if(F.col(c).isNull() | (F.col(c) == 0)) for c in columns}
+def _zero_measures(columns: Iterable[str]) -> dict[str, str]:
+    return {f"zeros_{c}": f"count_if({c} IS NULL OR {c} = 0)" for c in columns}
 
 
-def _match_measures(columns):
-    return {f"matched_{c}": F.count_if(F.col(c) > 0) for c in columns}
+def _match_measures(columns: Iterable[str]) -> dict[str, str]:
+    return {f"matched_{c}": f"count_if({c} > 0)" for c in columns}
 
 
-def _null_grade(pct: Column) -> Column:
-    return _grade(pct < 20, pct < 60)
-
-
-def _breaks(c: str, low: float | None, high: float | None) -> tuple[Column, Column]:
+def _breaks(c: str, low: float | None, high: float | None) -> tuple[str, str]:
     """Whether the smallest and the largest value fall outside the bounds; null counts as inside."""
-    no = F.lit(False)
-    below = no if low is None else F.coalesce(F.col(f"min_{c}") < F.lit(low), no)
-    above = no if high is None else F.coalesce(F.col(f"max_{c}") > F.lit(high), no)
+    below = "false" if low is None else f"coalesce(min_{c} < {low}D, false)"
+    above = "false" if high is None else f"coalesce(max_{c} > {high}D, false)"
     return below, above
 
 
@@ -115,15 +121,10 @@ def null_profile(df: DataFrame, columns: Iterable[str] = NULL_COLUMNS) -> DataFr
     names = _present(df, columns)
     rows = []
     for c in names:
-        nulls = F.col(f"nulls_{c}")
-        pct = _share(nulls)
+        pct = _share(f"nulls_{c}")
+        status = _grade(f"{pct} < 20", f"{pct} < 60")
         rows.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                nulls.alias("nulls"),
-                pct.alias("null_pct"),
-                _null_grade(pct).alias("status"),
-            )
+            {"column": _text(c), "nulls": f"nulls_{c}", "null_pct": pct, "status": status}
         )
     return _spread(_profile(df, _null_measures(names)), rows).orderBy(F.desc("nulls"), "column")
 
@@ -134,17 +135,9 @@ def range_check(df: DataFrame, bounds: dict[str, tuple] = BOUNDS) -> DataFrame:
     rows = []
     for c in names:
         below, above = _breaks(c, *bounds[c])
-        rows.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"min_{c}").alias("min_val"),
-                F.col(f"max_{c}").alias("max_val"),
-                F.col(f"avg_{c}").alias("avg_val"),
-                F.col(f"std_{c}").alias("std_val"),
-                F.col(f"neg_{c}").alias("neg_count"),
-                F.when(below | above, "fail").otherwise("ok").alias("status"),
-            )
-        )
+        row = {"column": _text(c)} | {f"{name}_val": f"{name}_{c}" for name in SPREAD}
+        row |= {"neg_count": f"neg_{c}", "status": f"if({below} OR {above}, 'fail', 'ok')"}
+        rows.append(row)
     return _spread(_profile(df, _range_measures(names)), rows)
 
 
@@ -153,15 +146,10 @@ def zero_check(df: DataFrame, columns: Iterable[str] = ZERO_COLUMNS) -> DataFram
     names = _present(df, columns)
     rows = []
     for c in names:
-        zeros = F.col(f"zeros_{c}")
-        pct = _share(zeros)
+        pct = _share(f"zeros_{c}")
+        status = _grade(f"{pct} < 30", f"{pct} < 60")
         rows.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                zeros.alias("zeros"),
-                pct.alias("zero_pct"),
-                _grade(pct < 30, pct < 60).alias("status"),
-            )
+            {"column": _text(c), "zeros": f"zeros_{c}", "zero_pct": pct, "status": status}
         )
     return _spread(_profile(df, _zero_measures(names)), rows)
 
@@ -171,17 +159,10 @@ def join_coverage(df: DataFrame, checks: dict[str, str] = JOIN_COLUMNS) -> DataF
     present = {label: c for label, c in checks.items() if c in df.columns}
     rows = []
     for label, c in present.items():
-        matched = F.col(f"matched_{c}")
-        pct = _share(matched)
-        rows.append(
-            F.struct(
-                F.lit(label).alias("label"),
-                F.lit(c).alias("column"),
-                matched.alias("matched"),
-                pct.alias("match_pct"),
-                _grade(pct > 30, pct > 10).alias("status"),
-            )
-        )
+        pct = _share(f"matched_{c}")
+        row = {"label": _text(label), "column": _text(c), "matched": f"matched_{c}"}
+        row |= {"match_pct": pct, "status": _grade(f"{pct} > 30", f"{pct} > 10")}
+        rows.append(row)
     return _spread(_profile(df, _match_measures(present.values())), rows)
 
 
@@ -215,46 +196,39 @@ def issues(df: DataFrame, keys: Iterable[str] = KEY) -> DataFrame:
     joins = {label: c for label, c in JOIN_COLUMNS.items() if c in df.columns}
     rows = []
 
-    def add(check: str, column: str, value: Column, expected: str, bad: Column) -> None:
-        rows.append(
-            F.struct(
-                F.lit(check).alias("check"),
-                F.lit(column).alias("column"),
-                value.cast("double").alias("value"),
-                F.lit(expected).alias("expected"),
-                bad.alias("bad"),
-            )
-        )
+    def add(check: str, column: str, value: str, expected: str, bad: str) -> None:
+        row = {"check": _text(check), "column": _text(column), "value": f"CAST({value} AS double)"}
+        rows.append(row | {"expected": _text(expected), "bad": bad})
 
     for c in nulls:
-        pct = _share(F.col(f"nulls_{c}"))
-        add("high null rate", c, pct, "<60", pct >= 60)
+        pct = _share(f"nulls_{c}")
+        add("high null rate", c, pct, "<60", f"{pct} >= 60")
     for c in bounded:
         low, high = BOUNDS[c]
         below, above = _breaks(c, low, high)
         if low is not None:
-            add("out of range", c, F.col(f"min_{c}"), f">={low}", below)
+            add("out of range", c, f"min_{c}", f">={low}", below)
         if high is not None:
-            add("out of range", c, F.col(f"max_{c}"), f"<={high}", above)
+            add("out of range", c, f"max_{c}", f"<={high}", above)
     for label, c in joins.items():
-        pct = _share(F.col(f"matched_{c}"))
-        add("low join coverage", label, pct, ">=10", pct < 10)
+        pct = _share(f"matched_{c}")
+        add("low join coverage", label, pct, ">=10", f"{pct} < 10")
 
     measures = _null_measures(nulls) | _range_measures(bounded) | _match_measures(joins.values())
     found = _spread(_profile(df, measures), rows).where("bad").drop("bad")
-    repeated = (
-        duplicate_keys(df, columns)
-        .where("duplicates > 0")
-        .select(
-            F.lit("duplicate keys").alias("check"),
-            F.lit(", ".join(columns)).alias("column"),
-            F.col("duplicates").cast("double").alias("value"),
-            F.lit("0").alias("expected"),
+    repeated = duplicate_keys(df, columns).where("duplicates > 0")
+    return found.unionByName(
+        repeated.selectExpr(
+            "'duplicate keys' AS check",
+            f"{_text(', '.join(columns))} AS column",
+            "CAST(duplicates AS double) AS value",
+            "'0' AS expected",
         )
     )
-    return found.unionByName(repeated)
 
 
-def sample_rows(df: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` funded rows by key, for a look at the table."""
-    return df.where("total_funding_usd > 0").select(*SAMPLE_COLUMNS).orderBy(*KEY).limit(n)
+def sample_rows(df: DataFrame, n: int = 10, funded_only: bool = True) -> DataFrame:
+    """The first ``n`` rows by key, for a look at the table."""
+    if funded_only:
+        df = df.where("total_funding_usd > 0")
+    return df.select(*SAMPLE_COLUMNS).orderBy(*KEY).limit(n)

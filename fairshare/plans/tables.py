@@ -84,19 +84,18 @@ def scored_rows(
     contamination: float = iforest.CONTAMINATION,
     seed: int = iforest.SEED,
 ) -> tuple[DataFrame, DataFrame, Scaler]:
-    """(scored rows, forest, scaler): the model-ready rows with scaled features, score and flag."""
+    """(scored rows, forest, scaler): the model-ready rows with their score and flag."""
     ready = settle(ml_ready(features), "ready")
     scaler = fit_scaler(ready)
     trained = settle(iforest.fit_forest(ready, scaler.rows, trees=trees, seed=seed), "forest")
-    scaled = scaler.transform(ready, SCALED)
-    scored = settle(iforest.score(scaled, trained, scaler.rows), "scored")
+    scored = settle(iforest.score(ready, trained, scaler.rows), "scored")
     return iforest.flag_by_contamination(scored, "raw_score", contamination), trained, scaler
 
 
 def detect(features: DataFrame, **settings) -> DataFrame:
     """Model-ready rows with ``is_anomaly`` and ``anomaly_score``."""
-    scored, _, scaler = scored_rows(features, **settings)
-    return scored.drop("raw_score", *[SCALED + c for c in scaler.columns])
+    scored, _, _ = scored_rows(features, **settings)
+    return scored.drop("raw_score")
 
 
 def model(
@@ -105,14 +104,18 @@ def model(
     restarts: int = peers.RESTARTS,
     **settings,
 ) -> Models:
-    """Score anomalies and group peers; the anomalies table carries ``cluster_id``."""
+    """Score anomalies and group peers; the anomalies frame carries ``cluster_id``.
+
+    The frame labels its rows when it is read; ``publish_models`` writes it as a table.
+    """
     scored, trained, scaler = scored_rows(features, **settings)
     columns = [SCALED + c for c in ML_FEATURES]
-    fitted = peers.fit_peers(scored, scaler.rows, columns, ks=ks, restarts=restarts)
-    found = peers.sweep(scored, scaler.rows, fitted)
+    scaled = scaler.transform(scored, SCALED)
+    fitted = peers.fit_peers(scaled, scaler.rows, columns, ks=ks, restarts=restarts)
+    found = peers.sweep(scaled, scaler.rows, fitted)
     best = fitted[peers.best_k(found)]
-    labelled = peers.label_rows(scored, best).drop("raw_score", *columns)
-    return Models(settle(labelled, "anomalies"), scaler, trained, best, found)
+    labelled = peers.label_rows(scaled, best).drop("raw_score", *columns)
+    return Models(labelled, scaler, trained, best, found)
 
 
 def publish_models(
@@ -128,7 +131,7 @@ def publish_models(
     write_table(models.forest, f"{database}.model_forest", fmt)
     write_table(runs.scaler_frame(spark, models.scaler), f"{database}.model_scaler", fmt)
     write_table(runs.peers_frame(spark, models.peer_model), f"{database}.model_peers", fmt)
-    flagged = anomaly_summary(models.anomalies).first()
+    flagged = anomaly_summary(spark.table(f"{database}.anomalies")).first()
     silhouette = {k: s for k, _, s in models.sweep}[models.peer_model.k]
     log = runs.run_log(
         spark,

@@ -65,6 +65,8 @@ def test_context_joins_are_not_forced_to_broadcast(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_allocation_windows_are_partitioned(spark, sf_dir):
+def test_allocation_sums_within_buckets(spark, sf_dir):
     text = plan(allocate.allocate(queries.feature_rows(spark, sf_dir), 1e6))
-    assert "partitionBy" in text or "_bucket" in text
+    windows = [line for line in text.splitlines() if "windowspecdefinition" in line]
+    assert sum("sum(requirements" in line for line in windows) == 1
+    assert "windowspecdefinition(_bucket" in next(x for x in windows if "sum(requirements" in x)

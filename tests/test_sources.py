@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fairshare.plans import tables
@@ -35,6 +37,13 @@ def test_names():
     assert unique_names(["a", "a_1", "a"]) == ["a", "a_1", "a_2"]
 
 
+@given(st.lists(st.sampled_from(["a", "b", "a_1", "a_2", ""])))
+def test_names_become_unique(names):
+    got = unique_names(names)
+    assert len(set(got)) == len(got) == len(names)
+    assert all(new.startswith(old) for new, old in zip(got, names))
+
+
 def test_hxl(spark, tmp_path):
     df = load_hxl(spark, put(tmp_path, "h.csv", HXL, bom=True))
     assert df.columns == ["country_code", "sector__name", "inneed"]
