@@ -167,6 +167,8 @@ def fit_peers(
     """
     names = list(columns)
     plan = [(k, restart) for k in ks if k <= rows for restart in range(restarts)]
+    if not plan:
+        raise ValueError(f"{rows} rows are fewer than the smallest number of groups")
     pool = sample_rows_by_key(scaled, key, rows, SEED_POOL, seed)
     runs = _first_centers(pool, names, plan, seed, max_steps)
     steps = dict.fromkeys(runs, 0)
