@@ -84,7 +84,8 @@ def _first_centers(
     pool: DataFrame, columns: list[str], plan: list[tuple[int, int]], seed: int, max_steps: int
 ) -> dict[int, np.ndarray]:
     """Centres for every (k, restart), seeded and settled on the pool alone; runs in parallel."""
-    points = _matrix(pool.orderBy("_digest").select(*columns).toPandas()[c] for c in columns)
+    drawn = pool.orderBy("_digest").select(*columns).toPandas()
+    points = _matrix(drawn[c] for c in columns)
     context = pool.sparkSession.sparkContext
     shared = context.broadcast(points)
 

@@ -223,3 +223,24 @@ def test_scores_follow_the_tree_node_by_node(spark, points):
             paths.append(tree["path"][node])
         wanted = 2 ** (-np.mean(paths) / forest.mean_path(64))
         assert row["raw_score"] == pytest.approx(wanted)
+
+
+def test_task_functions_need_no_package_on_the_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    path = tmp_path / "f"
+    path.write_bytes(cloudpickle.dumps((peers._sums, peers._summable, forest.grow_tree)))
+    code = (
+        "import numpy as np\nfrom pyspark import cloudpickle\n"
+        f"sums, lay, grow = cloudpickle.loads(open({str(path)!r}, 'rb').read())\n"
+        "assert sums(lay(np.ones((3, 2))), np.zeros((1, 2)))[0, 0] == 3\n"
+        "grow(np.random.rand(9, 2), np.random.default_rng(0))\n"
+        "try:\n    import fairshare\nexcept ImportError:\n    print('done')\n"
+    )
+    ran = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=100
+    )
+    assert ran.stdout.strip() == "done", ran.stderr
