@@ -319,7 +319,7 @@ def _allocation(objective: str, budget: str, body: str) -> str:
 FORTY = "select 0.4 * sum(requirements) from lines"
 ALLOC_COLUMNS = (
     "country_code, cluster_name, "
-    + r(3, "requirements", "targeted", "allocated_usd", "expected_beneficiaries")
+    + r(4, "requirements", "targeted", "allocated_usd", "expected_beneficiaries")
     + ", "
     + r(6, "impact_per_dollar", "allocation")
 )
@@ -610,8 +610,8 @@ SQL: dict[str, str] = {
         "impact", "select sum(total_funding_usd) from features",
         f"select {ALLOC_COLUMNS} from alloc"),
     "allocation_totals": _allocation("impact", FORTY, """
-        select round(sum(expected_beneficiaries), 2) + 0.0 total_beneficiaries,
-          round(sum(allocated_usd), 2) + 0.0 total_allocated,
+        select round(sum(expected_beneficiaries), 4) + 0.0 total_beneficiaries,
+          round(sum(allocated_usd), 4) + 0.0 total_allocated,
           round(sum(expected_beneficiaries) / greatest(sum(allocated_usd), 1), 6) + 0.0
             impact_per_dollar
         from alloc"""),

@@ -420,7 +420,7 @@ def _allocated(spark, sf_dir, objective):
 
 def _rounded_allocation(df):
     amounts = ["requirements", "targeted", "allocated_usd", "expected_beneficiaries"]
-    return rounded(rounded(df, amounts, 3), ["impact_per_dollar", "allocation"], 6)
+    return rounded(rounded(df, amounts, 4), ["impact_per_dollar", "allocation"], 6)
 
 
 def allocate_impact(spark, sf_dir):
@@ -438,7 +438,7 @@ def allocate_default_budget(spark, sf_dir):
 def allocation_totals(spark, sf_dir):
     totals = allocate.allocation_totals(_allocated(spark, sf_dir, "impact"))
     amounts = ["total_beneficiaries", "total_allocated"]
-    return rounded(rounded(totals, amounts, 2), ["impact_per_dollar"], 6)
+    return rounded(rounded(totals, amounts, 4), ["impact_per_dollar"], 6)
 
 
 def top_allocations(spark, sf_dir):
