@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairshare.llm import licenses, simhash
+from fairshare.llm import licenses, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,30 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Scores from here on are toxic.
+TOXIC = 0.7
+
+
+def held_out(doc_id) -> Column:
+    """Rows of which no label may be learned."""
+    return F.crc32(doc_id.cast("string")) % 3 == 1
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Classifier:
+    """Fitted on the labels that may be learned from, whose texts are those of ``documents``."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    return toxicity.train(docs, labels)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    toxic = (F.col("score") >= TOXIC).cast("int")
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", out.alias("held_out"), "score", toxic.alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     mark = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -43,5 +67,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
+    "op7_toxicity": op7_toxicity,
     "op10_simhash": op10_simhash,
 }
