@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairshare.llm import licenses, pii, simhash, toxicity
+from fairshare.llm import licenses, mixing, pii, simhash, toxicity
+from fairshare.llm.texts import count_words
+from fairshare.sources.tables import settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cycling_weights(names: list[str | None]) -> dict[str | None, float]:
+    """1, 2, 3 and again from 1, along the sorted names."""
+    return {name: 1 + k % 3 for k, name in enumerate(names)}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("print")
+    )
+    mixed = mixing.mix(
+        settle(docs, "sized"), F.col("size"), F.array("source"), [F.col("doc_id"), F.col("source"), F.col("print")], cycling_weights
+    )
+    listed = [(s, mixed.source_size[s], mixed.target[s]) for s in mixed.target]
+    sources = spark.createDataFrame(listed, "source string, source_size long, target double")
+    rows = mixed.rows.select("doc.doc_id", "size", "doc.source", (F.col("size") * F.col("copies")).alias("taken"))
+    named = rows.alias("r").join(F.broadcast(sources).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+    return named.select("doc_id", "size", "r.source", "source_size", "target", "taken")
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licenses.license_spans(docs)
@@ -81,6 +102,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
     "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
