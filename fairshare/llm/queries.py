@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairshare.llm import licenses, mixing, pii, simhash, toxicity
+from fairshare.llm import licenses, mixing, pieces, pii, simhash, toxicity
 from fairshare.llm.texts import count_words
 from fairshare.sources.tables import settle
 
@@ -95,6 +95,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", toxic.alias("predicted"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs.withColumnRenamed("text", "whole"), text="whole"), into="back")
+    # the space mark itself reads back as a space, all else as it was
+    same = F.col("back") == F.translate(F.coalesce("whole", F.lit("")), pieces.SPACE, " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("back", 256).alias("text_sha256"),
+        same.alias("same"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     mark = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -106,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
+    "op8_pieces": op8_pieces,
     "op10_simhash": op10_simhash,
 }
