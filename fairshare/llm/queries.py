@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairshare.llm import licenses, mixing, pieces, pii, simhash, toxicity
+from fairshare.llm import licenses, mixing, pieces, pii, simhash, topk, toxicity
 from fairshare.llm.texts import count_words
 from fairshare.sources.tables import settle
 
@@ -71,6 +71,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.largest_products(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 #: Scores from here on are toxic.
 TOXIC = 0.7
 
@@ -119,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
     "op4_pii": op4_pii,
+    "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
     "op8_pieces": op8_pieces,
     "op10_simhash": op10_simhash,
