@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairshare.llm import licenses, mixing, pieces, pii, simhash, topk, toxicity
+from fairshare.llm import curves, licenses, mixing, pieces, pii, simhash, topk, toxicity
 from fairshare.llm.texts import count_words
 from fairshare.sources.tables import settle
 
@@ -113,6 +113,10 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     mark = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -126,5 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
     "op8_pieces": op8_pieces,
+    "op9_nearest": op9_nearest,
     "op10_simhash": op10_simhash,
 }
