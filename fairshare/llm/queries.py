@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairshare.llm import curves, licenses, mixing, pieces, pii, simhash, topk, toxicity
+from fairshare.llm import curves, licenses, mixing, pieces, pii, simhash, topk, toxicity, warc
 from fairshare.llm.texts import count_words
-from fairshare.sources.tables import settle
+from fairshare.sources.tables import settle, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,34 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PAGE = "urn:page:"
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("html"))
+    urn = lambda c: F.concat(F.lit(PAGE), c.cast("string"))
+    records = warc.with_revisits(pages, "page_id", "html").select(
+        "record_type",
+        urn(F.col("page_id")).alias("record_id"),
+        urn(F.col("page_id")).alias("target_uri"),
+        F.lit("2024-01-01T00:00:00Z").alias("date"),
+        urn(F.col("refers_to")).alias("refers_to"),
+        F.col("html").alias("payload"),
+    )
+    warc.register(spark)
+    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid4().hex}"
+    records.write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc").load(path)
+    page = lambda c: F.substring(c, len(PAGE) + 1, 20).cast("long")
+    return read.select(
+        page(F.col("record_id")).alias("page_id"),
+        F.coalesce(F.length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        page(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_spans(docs)
@@ -126,6 +155,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
+    "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
