@@ -13,7 +13,7 @@ NUMBER = r"^\s*+[+-]?(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?\d++)?\s*+$"
 PLAIN_NUMBER = r"^\s*+-?\d++(?:\.\d++)?\s*+$"
 DIGITS = r"^\d+$"
 YEAR = r"^\s*+\d{4}\s*+$"
-WHOLE = r"^\s*+[+-]?\d{1,18}\s*+$"
+WHOLE = r"^\s*+[+-]?\d++\s*+$"
 EPSILON = 1e-9
 
 

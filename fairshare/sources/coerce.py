@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,13 +19,18 @@ ID_COLUMNS = (
 )
 
 
+def whole_number(text: Column) -> Column:
+    """Text to bigint where it is a whole number that fits, else null."""
+    return F.when(text.rlike(WHOLE), text.try_cast("bigint"))
+
+
 def safe_coerce(
     df: DataFrame, threshold: float = 0.8, id_columns: Iterable[str] = ID_COLUMNS
 ) -> DataFrame:
     """Cast a text column to a number if at least ``threshold`` of all rows parse.
 
     Nulls count as not parsed. Cells that do not parse become null; a column of whole numbers
-    becomes ``bigint``, any other ``double``. One aggregate over all columns decides, one
+    that all fit becomes ``bigint``, any other ``double``. One aggregate over all columns decides, one
     projection casts.
     """
     keep = {c.lower() for c in id_columns}
@@ -40,7 +45,7 @@ def safe_coerce(
     for i, name in enumerate(texts):
         text = number_text(F.col(f"`{name}`"))
         counts.append(F.count_if(text.rlike(NUMBER)).alias(f"n{i}"))
-        counts.append(F.count_if(text.rlike(WHOLE)).alias(f"w{i}"))
+        counts.append(F.count(whole_number(text)).alias(f"w{i}"))
     found = df.agg(*counts).first()
     rows = max(found["rows"], 1)
     casts = {}
@@ -50,8 +55,7 @@ def safe_coerce(
         c = F.col(f"`{name}`")
         whole = found[f"n{i}"] == found[f"w{i}"] > 0
         if whole:
-            text = number_text(c)
-            casts[name] = F.when(text.rlike(WHOLE), text.try_cast("bigint"))
+            casts[name] = whole_number(number_text(c))
         else:
             casts[name] = safe_double(c)
     return df.select(*[casts.get(n, F.col(f"`{n}`")).alias(n) for n in df.columns])

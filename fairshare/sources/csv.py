@@ -35,8 +35,12 @@ def _reader(spark: SparkSession, multi_line: bool):
 
 
 def _scan(spark, path, names, multi_line, missing, tags=None) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    extra = next(n for n in ("_surplus", "__surplus", "___surplus") if n not in names)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, extra]])
     raw = _reader(spark, multi_line).option("header", True).schema(schema).csv(path)
+    # a filter is never pruned, so whatever columns are read, a longer line is noticed
+    longer = F.raise_error(F.lit(f"a line of {path} has more cells than its header"))
+    raw = raw.where(F.when(F.col(extra).isNull(), True).otherwise(longer.cast("boolean")))
     if tags is not None:
         pairs = [F.col(f"`{n}`").eqNullSafe(F.lit(t)) for n, t in zip(names, tags)]
         raw = raw.where(~reduce(and_, pairs))
@@ -60,6 +64,9 @@ def load_csv(
 ) -> DataFrame:
     """Plain CSV: one header line, names cleaned by ``clean``, all columns text.
 
+    Lines shorter than the header are filled with nulls; a longer one fails the read, since there is
+    no telling which of its cells belong to which column, unless the first cell too many is empty.
+
     ``multi_line=None`` looks whether records span lines and splits the files if none does.
     """
     if multi_line is None:

@@ -63,7 +63,7 @@ def ingest(
             write_table(counted, f"{database}.{prefix}{name}", fmt)
             status.append((name, seen.get["rows"], len(df.columns), None))
         except Exception as error:
-            status.append((name, None, None, f"{type(error).__name__}: {error}"[:500]))
+            status.append((name, None, None, f"{type(error).__name__}: {error}"))
     return spark.createDataFrame(status, "dataset string, rows long, cols int, error string")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 from uuid import uuid4
@@ -9,6 +10,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Formats that replace a table in one step.
+ATOMIC = ("delta", "iceberg")
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -22,15 +26,27 @@ def write_table(
     """Replace ``table`` with ``df``, schema included.
 
     Rows are gathered by the partition columns first, and large values split again, so no
-    value makes one huge file and no task opens a file per value.
+    value makes one huge file and no task opens a file per value. Formats without atomic replacement
+    are written beside the old table, which goes only once the new one is complete; a write that
+    fails leaves it as it was.
     """
     columns = list(partition_by)
     if columns:
         df = df.hint("rebalance", *[F.col(c) for c in columns])
-    writer = df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
+    writer = df.write.format(fmt)
     if columns:
         writer = writer.partitionBy(*columns)
-    writer.saveAsTable(table)
+    if fmt.lower() in ATOMIC:
+        writer.mode("overwrite").option("overwriteSchema", "true").saveAsTable(table)
+        return
+    spark, fresh = df.sparkSession, f"{table}__{uuid4().hex[:12]}"
+    try:
+        writer.saveAsTable(fresh)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
 
 
 def read_tables(
@@ -62,7 +78,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _local_dirs:
         _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="fairshare-")

@@ -219,3 +219,31 @@ def test_large_amounts_survive_coercion(spark, database):
 
 def test_build_skips_what_has_no_source(spark):
     assert tables.build_tables(spark, "nothing_here") == []
+
+
+def test_a_line_with_too_many_cells_fails(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("a,b\n1,2,3\n4,5\n")
+    for column in ("a", "b"):
+        with pytest.raises(Exception, match="more cells"):
+            load_csv(spark, str(path)).select(column).collect()
+    path.write_text("a,b\n1\n4,5\n")
+    assert [tuple(r) for r in load_csv(spark, str(path)).collect()] == [("1", None), ("4", "5")]
+
+
+def test_long_whole_numbers_stay_exact(spark, rows):
+    got = safe_coerce(rows("x string, y string", ("1234567890123456789", "1"), ("2", "99999999999999999999")))
+    assert got.dtypes == [("x", "bigint"), ("y", "double")]
+    assert sorted(r["x"] for r in got.collect()) == [2, 1234567890123456789]
+
+
+def test_a_failed_overwrite_keeps_the_table(spark, rows):
+    spark.sql("create database if not exists kept")
+    write_table(rows("x int", (1,)), "kept.t")
+    bad = rows("x string", ("a",)).selectExpr("cast(raise_error('no') as int) x")
+    with pytest.raises(Exception, match="no"):
+        write_table(bad, "kept.t")
+    assert [r["x"] for r in spark.table("kept.t").collect()] == [1]
+    write_table(spark.table("kept.t").selectExpr("x + 1 x"), "kept.t")  # reads what it replaces
+    assert [r["x"] for r in spark.table("kept.t").collect()] == [2]
+    assert [t.name for t in spark.catalog.listTables("kept") if not t.isTemporary] == ["t"]
