@@ -179,11 +179,12 @@ def flag_by_contamination(
 ) -> DataFrame:
     """Add ``anomaly_score`` (``column`` minus its threshold) and ``is_anomaly`` (above it).
 
-    The threshold is the exact ``1 - contamination`` quantile. Read ``df`` from storage: it is
+    The threshold is the exact ``1 - contamination`` quantile of the numbers; null and NaN values are
+    never flagged, and an infinite value is where it is above the threshold. Read ``df`` from storage: it is
     scanned a few times.
     """
     threshold = exact_quantile(df, column, 1.0 - contamination)
-    excess = F.col(column) - F.lit(threshold)
-    return df.withColumns(
-        {"anomaly_score": excess, "is_anomaly": F.when(excess > 0, 1).otherwise(0)}
-    )
+    value = F.col(column)
+    above = (value > F.lit(threshold)) & ~F.isnan(value.cast("double"))
+    flags = {"anomaly_score": value - F.lit(threshold), "is_anomaly": F.when(above, 1).otherwise(0)}
+    return df.withColumns(flags)

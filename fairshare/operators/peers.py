@@ -205,7 +205,8 @@ def nearest_center(
 ) -> DataFrame:
     """Add the index of the nearest centre and, if named, the squared distance to it.
 
-    ``columns`` are number columns or the name of one array column. Ties go to the first centre.
+    ``columns`` are number columns or the name of one array column. Ties go to the first centre. A
+    row with a null or NaN feature, or a null vector, has neither label nor distance.
     """
     array = isinstance(columns, str)
     names = [columns] if array else list(columns)
@@ -213,17 +214,21 @@ def nearest_center(
 
     @F.pandas_udf("struct<label int, far double>")
     def nearest(*parts: pd.Series) -> pd.DataFrame:
+        none = np.full(points.shape[1], np.nan)
         if array:
-            x = np.stack(parts[0].to_numpy()).astype(np.float64) if len(parts[0]) else None
+            rows = [none if v is None else np.asarray(v, np.float64) for v in parts[0]]
+            x = np.stack(rows) if rows else np.zeros((0, points.shape[1]))
         else:
             x = _matrix(parts)
-        if x is None or not len(x):
-            return pd.DataFrame({"label": pd.Series(dtype="int32"), "far": pd.Series(dtype=float)})
-        far = _squared_distances(x, points)
-        at = far.argmin(1)
-        # the winner once more by differences, which loses no digits
-        exact = ((x - points[at]) ** 2).sum(1)
-        return pd.DataFrame({"label": at.astype(np.int32), "far": exact})
+        whole = ~np.isnan(x).any(1)
+        label_at, far_at = np.full(len(x), None, object), np.full(len(x), None, object)
+        if whole.any():
+            at = _squared_distances(x[whole], points).argmin(1)
+            # the winner once more by differences, which loses no digits
+            label_at[whole], far_at[whole] = at, ((x[whole] - points[at]) ** 2).sum(1)
+        return pd.DataFrame(
+            {"label": pd.array(label_at, "Int32"), "far": pd.array(far_at, "Float64")}
+        )
 
     out = df.withColumn("_near", nearest(*[F.col(c) for c in names]))
     out = out.withColumn(label, F.col("_near.label"))
@@ -253,12 +258,17 @@ def silhouette(
     """(labels, silhouette): mean Euclidean silhouette of a sample, for several label columns.
 
     At most ``size`` rows are compared, so the sample is broadcast and each task measures its rows
-    against it; no pairs are written out. A row alone in its group counts 0, and labels with a
+    against it; no pairs are written out. Rows with a null label or feature are left out. A row alone in its group counts 0, and labels with a
     single group give null.
     """
     array = isinstance(columns, str)
     names, label_names, key = [columns] if array else list(columns), list(labels), list(key)
-    rows = df.count() if rows is None else rows
+    usable = F.lit(True)
+    for c in [*names, *label_names]:
+        usable = usable & F.col(c).isNotNull()
+    kept = df.where(usable)
+    rows = kept.count() if rows is None else rows
+    df = kept
     chosen = sample_rows_by_key(df, key, rows, size, seed).select("_digest", *names, *label_names)
     sample = chosen.toPandas().sort_values("_digest")
 
@@ -343,7 +353,7 @@ def peer_benchmark(
     """Each row's features minus the mean of its peer group, as ``<feature>_vs_peers``.
 
     A few groups hold all rows, so means are grouped and joined back; a window would put a whole
-    group into one task.
+    group into one task. ``df`` is read twice, so labels should come from storage.
     """
     names = list(features)
     means = df.groupBy(label).agg(*[F.avg(c).alias(f"_mean_{c}") for c in names])

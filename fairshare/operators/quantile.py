@@ -77,4 +77,8 @@ def exact_quantile(
         rows = rows.where(x.between(least, most))
     else:
         low_value, high_value = _gathered(rows, ranks)
+    if low_value == high_value or position == first:  # equal infinities have no difference
+        return low_value
+    if math.isinf(low_value) or math.isinf(high_value):  # nothing lies between, the nearer counts
+        return low_value if position - first <= 0.5 else high_value
     return low_value + (high_value - low_value) * (position - first)

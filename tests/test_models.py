@@ -226,6 +226,7 @@ def test_scores_follow_the_tree_node_by_node(spark, points):
 
 
 def test_task_functions_need_no_package_on_the_executors(tmp_path):
+    import os
     import subprocess
     import sys
 
@@ -240,7 +241,46 @@ def test_task_functions_need_no_package_on_the_executors(tmp_path):
         "grow(np.random.rand(9, 2), np.random.default_rng(0))\n"
         "try:\n    import fairshare\nexcept ImportError:\n    print('done')\n"
     )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    command = [sys.executable, "-c", code]
     ran = subprocess.run(
-        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=100
+        command, cwd=tmp_path, env=env, capture_output=True, text=True, timeout=100
     )
     assert ran.stdout.strip() == "done", ran.stderr
+
+
+def test_rows_with_gaps_have_no_peer(rows):
+    nan = float("nan")
+    df = rows("id int, a double, b double", (1, 0.0, 0.0), (2, None, 0.0), (3, nan, 1.0), (4, 9.0, 9.0))
+    centers = np.array([[0.0, 0.0], [9.0, 9.0]])
+    got = peers.nearest_center(df, ["a", "b"], centers, distance="far").orderBy("id").collect()
+    assert [r["cluster_id"] for r in got] == [0, None, None, 1]
+    assert [r["far"] for r in got] == [0.0, None, None, 0.0]
+    df = rows("id int, v array<double>", (1, None), (2, [8.0, 8.0]), (3, [None, 1.0]))
+    got = peers.nearest_center(df, "v", centers).orderBy("id").collect()
+    assert [r["cluster_id"] for r in got] == [None, 1, None]
+    none = peers.nearest_center(df.where("id = 1"), "v", centers).collect()
+    assert none[0]["cluster_id"] is None
+
+
+def test_silhouette_leaves_out_rows_without_label(rows):
+    data = [(1, 0.0, 0), (2, 0.1, 0), (3, 5.0, 1), (4, 5.1, 1), (5, 2.0, None)]
+    df = rows("id int, x double, g int", *data)
+    value = peers.silhouette(df, ["x"], ["g"], ["id"]).first()["silhouette"]
+    assert value == pytest.approx(peers.silhouette(df.where("id < 5"), ["x"], ["g"], ["id"]).first()["silhouette"])
+
+
+def test_no_flag_for_null_and_nan_and_finite_thresholds(rows):
+    inf, nan = float("inf"), float("nan")
+    df = rows("x double", (1.0,), (2.0,), (nan,), (None,), (inf,), (inf,))
+    got = forest.flag_by_contamination(df, "x", 0.5).collect()
+    assert [r["is_anomaly"] for r in got] == [0, 0, 0, 0, 1, 1]
+    same = rows("x double", *[(inf,)] * 20)
+    assert not any(r["is_anomaly"] for r in forest.flag_by_contamination(same, "x", 0.05).collect())
+
+
+def test_peer_benchmark_query_labels_once(spark, sf_dir):
+    from checks.queries import QUERIES
+
+    plan = QUERIES["peer_benchmark"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # labels are read from what is stored
