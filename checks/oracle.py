@@ -45,29 +45,30 @@ STEPS = {
         select * from merged
         where not (total_requirements_usd = 0 and total_funding_usd > 0)""",
     "needs_raw": """
-        select n_name country_code, c_mktsegment sector_description,
+        select case when n_nationkey in (3, 13) then 'ELSEWHERE_' || n_nationkey else n_name end
+            country_code, c_mktsegment sector_description,
           c_acctbal::decimal(18,2)::double inneed,
           (c_acctbal::decimal(18,2) * 0.6)::double targeted,
           (c_acctbal::decimal(18,2) * 10)::double population
-        from customer join nation on c_nationkey = n_nationkey
-        where n_nationkey not in (3, 13)""",
+        from customer join nation on c_nationkey = n_nationkey""",
     "needs": """
         select country_code, sum(inneed) total_inneed, sum(targeted) total_targeted,
           sum(population) hno_population
         from needs_raw group by 1""",
     "people_raw": """
-        select n_name country_code, (abs(s_acctbal::decimal(18,2)) * 1000)::double population,
+        select case when n_nationkey % 11 = 0 then 'ELSEWHERE_' || n_nationkey else n_name end
+            country_code, (abs(s_acctbal::decimal(18,2)) * 1000)::double population,
           (2015 + s_suppkey % 5)::int ref_year
-        from supplier join nation on s_nationkey = n_nationkey
-        where n_nationkey % 11 <> 0""",
+        from supplier join nation on s_nationkey = n_nationkey""",
     "people": """
         select country_code, sum(population) total_population from people_raw group by 1""",
     "disasters_raw": """
-        select 'NATION_' || (user_id % 25) country_code, event_type disaster_type,
+        select case when user_id % 25 = 8 then 'ELSEWHERE_' else 'NATION_' end || (user_id % 25)
+            country_code, event_type disaster_type,
           null::varchar disaster_subtype, (2015 + event_id % 10)::int as "year",
           "value" total_deaths, "value" * 1000 total_affected_disaster,
           case when event_type <> 'error' then "value" * 10 end total_damage_000usd
-        from events where user_id % 25 <> 8""",
+        from events""",
     "disasters": """
         select country_code, count(disaster_type)::bigint num_disasters_5yr,
           sum(total_deaths) total_disaster_deaths_5yr,
@@ -429,10 +430,10 @@ def _money_by(key: str) -> str:
       from features where {key} is not null group by 1"""
 
 
-TABLES = {
-    "nation": 3, "customer": 5, "supplier": 4, "part": 6,
-    "orders": 6, "lineitem": 11, "events": 6, "embeddings": 3,
-}
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
 
 SQL: dict[str, str] = {
     "coerce_orders": """
@@ -442,9 +443,30 @@ SQL: dict[str, str] = {
           case when o_orderkey % 2 = 0 then 'unknown' else o_custkey::varchar end half_numbers,
           o_custkey::varchar country_code
         from orders""",
+    "coerce_long_codes": """
+        select 1000000000000000000 + l_orderkey * 10 + l_linenumber code,
+          l_quantity::double quantity from lineitem""",
+    "ingested_orders": """
+        select o_orderkey "Order_ID", o_orderstatus "Status",
+          o_totalprice::decimal(18,2)::double "Price",
+          case when o_orderkey % 5 <> 0 then 'a "quoted", part' || chr(10) || o_custkey end "Note",
+          'given' origin from orders""",
+    "flag_with_gaps": """
+        with v as (select l_orderkey, l_linenumber, case when l_orderkey % 7 = 0 then null
+            when l_orderkey % 7 = 1 then 'nan'::double when l_orderkey % 7 = 2 then 'inf'::double
+            else l_extendedprice::double end x from lineitem),
+        t as (select quantile_cont(x, 0.5) t from v where x is not null and not isnan(x))
+        select l_orderkey, l_linenumber,
+          case when x is not null and not isnan(x) and x > t then 1 else 0 end is_anomaly from v, t""",
+    "nearest_center_with_gaps": _with("near") + """
+        select vec_id, case when vec_id % 3 <> 0 then cluster_id else -1 end cluster_id from near""",
     "dataset_summary": _union(
-        f"select '{t}' dataset, count(*)::bigint \"rows\", {n}::int cols from {t}"
-        for t, n in TABLES.items()
+        f"""select '{t}' dataset, (select count(*)::bigint from {t}) "rows", count(*)::int cols,
+          'struct<' || string_agg(name || ':' || case type
+            when 'VARCHAR' then 'string' when 'INTEGER' then 'int' when 'FLOAT[]' then 'array<float>'
+            when 'TIMESTAMP' then 'timestamp_ntz' else lower(type) end, ',' order by cid) || '>' "schema"
+        from pragma_table_info('{t}')"""
+        for t in TABLES
     ),
     "prep_requirements": _with("req_raw") + """
         select country_code, case when p_size % 2 = 0 then p_size::varchar end cluster_id,

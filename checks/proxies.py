@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-NAMES = ["nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
+NAMES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
 
 
 _schemas: dict[str, StructType] = {}
@@ -93,9 +96,14 @@ def requirements_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(*[c.alias(n) for n, c in text.items()])
 
 
+def elsewhere(condition: str) -> Column:
+    """Nation names; where ``condition`` holds, one that no other table has, so joins miss it."""
+    return F.expr(f"if({condition}, 'ELSEWHERE_' || n_nationkey, n_name)").alias("n_name")
+
+
 def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
-    nation = table(spark, sf_dir, "nation").where("n_nationkey not in (3, 13)")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", elsewhere("n_nationkey in (3, 13)"))
     people = money("c_acctbal")
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("country_code"),
@@ -108,7 +116,7 @@ def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    nation = table(spark, sf_dir, "nation").where("n_nationkey % 11 <> 0")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", elsewhere("n_nationkey % 11 = 0"))
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("ISO3"),
         times(F.abs(money("s_acctbal")), "1000").cast("string").alias("Population"),
@@ -117,9 +125,10 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def disasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("user_id % 25 <> 8")
+    events = table(spark, sf_dir, "events")
+    nation = F.when(F.expr("user_id % 25 = 8"), "ELSEWHERE_").otherwise("NATION_")
     return events.select(
-        F.concat(F.lit("NATION_"), (F.col("user_id") % 25)).alias("ISO"),
+        F.concat(nation, (F.col("user_id") % 25)).alias("ISO"),
         F.col("event_type").alias("Disaster_Type"),
         F.lit(None).cast("string").alias("Disaster_Subtype"),
         (F.col("event_id") % 10 + 2015).alias("Start_Year"),

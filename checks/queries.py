@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from uuid import uuid4
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -26,8 +27,8 @@ from fairshare.operators import (
 )
 from fairshare.plans import prep, tables
 from fairshare.sources.coerce import safe_coerce
-from fairshare.sources.ingest import summarize
-from fairshare.sources.tables import settle
+from fairshare.sources.ingest import Dataset, ingest, summarize
+from fairshare.sources.tables import read_tables, settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,9 +116,46 @@ def coerce_orders(spark, sf_dir):
     return coerced.withColumn("mostly_numbers", F.coalesce("mostly_numbers", F.lit(-1)))
 
 
+def coerce_long_codes(spark, sf_dir):
+    """Codes of 19 digits, which a double cannot hold."""
+    lines = proxies.table(spark, sf_dir, "lineitem")
+    code = F.lit(10**18) + F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    text = lines.select(code.cast("string").alias("code"), F.col("l_quantity").cast("string").alias("quantity"))
+    return safe_coerce(text).withColumn("quantity", F.col("quantity").cast("double"))
+
+
+def ingested_orders(spark, sf_dir):
+    """Orders written as CSV, with quotes, line breaks and gaps, and taken in again."""
+    order = F.col("o_orderkey")
+    note = F.concat(F.lit('a "quoted", part\n'), F.col("o_custkey"))
+    cells = proxies.table(spark, sf_dir, "orders").select(
+        order.cast("string").alias("Order ID"),
+        F.col("o_orderstatus").alias("Status"),
+        F.format_number(proxies.money("o_totalprice"), 2).alias("Price"),
+        F.when(order % 5 != 0, note).alias("Note"),
+    )
+    name = f"given_{uuid4().hex[:8]}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    cells.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    status = ingest(spark, {"orders": Dataset(path, constants={"origin": "given"})}, name).first()
+    if status["error"]:
+        raise RuntimeError(status["error"])
+    found, _ = read_tables(spark, ["raw_orders"], name)
+    return found["raw_orders"]
+
+
+def flag_with_gaps(spark, sf_dir):
+    """Half of the prices flagged, among nulls, NaN and infinity."""
+    kind = F.col("l_orderkey") % 7
+    odd = F.when(kind == 1, F.lit(float("nan"))).when(kind == 2, F.lit(float("inf")))
+    x = F.when(kind > 2, F.col("l_extendedprice").cast("double")).when(kind > 0, odd)
+    lines = proxies.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
+    return forest.flag_by_contamination(lines, "x", 0.5).select("l_orderkey", "l_linenumber", "is_anomaly")
+
+
 def dataset_summary(spark, sf_dir):
     frames = {name: proxies.table(spark, sf_dir, name) for name in proxies.NAMES}
-    return summarize(frames).select("dataset", "rows", "cols")
+    return summarize(frames)
 
 
 def prep_requirements(spark, sf_dir):
@@ -541,6 +579,14 @@ def nearest_center(spark, sf_dir):
     return rounded(near, ["distance"], 6)
 
 
+def nearest_center_with_gaps(spark, sf_dir):
+    """As ``nearest_center``, with every third vector null."""
+    gap = F.when(F.col("vec_id") % 3 != 0, F.col("embedding"))
+    vectors = proxies.table(spark, sf_dir, "embeddings").withColumn("embedding", gap)
+    found = peers.nearest_center(vectors, "embedding", _label_means(spark, sf_dir))
+    return found.select("vec_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+
+
 def nearest_inertia(spark, sf_dir):
     return rounded(peers.inertia(_near_labels(spark, sf_dir), "distance"), ["inertia"], 4)
 
@@ -560,7 +606,8 @@ def peer_benchmark(spark, sf_dir):
     scaled = _scaled(spark, sf_dir)
     means = scaled.groupBy("cluster_name").agg(*[F.avg(c).alias(c) for c in scaling.ML_FEATURES])
     centers = [r[1:] for r in few(means.orderBy("cluster_name"))]
-    grouped = peers.nearest_center(scaled, scaling.ML_FEATURES, centers)
+    # labelled once: the means and the rows both read what is stored
+    grouped = settle(peers.nearest_center(scaled, scaling.ML_FEATURES, centers), "labelled")
     gaps = [f"{c}_vs_peers" for c in scaling.ML_FEATURES]
     against = peers.peer_benchmark(grouped).select(*features.KEY, "cluster_id", *gaps)
     return rounded(against, gaps, 5)
@@ -640,7 +687,8 @@ def peer_group_sizes(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
-        coerce_orders, dataset_summary,
+        coerce_orders, coerce_long_codes, ingested_orders, dataset_summary,
+        flag_with_gaps, nearest_center_with_gaps,
         prep_requirements, prep_needs, prep_population,
         prep_projects, prep_contributions, prep_disasters,
         canonical_labels, cleaned_requirements,
