@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting, Zhou, ICDM 2008) as Spark jobs.
 
-The trees see bounded samples: a pool drawn by key hash in one scan, from which every tree takes
-its own rows. Trees are built in parallel, one group per tree; scoring is one pass over the rows
+Every tree sees a bounded sample of its own, drawn from all rows by a hash of key and tree in one
+scan. Trees are built in parallel, one group per tree; scoring is one pass over the rows
 with the forest broadcast, whose size is set by the number of trees and the sample size alone.
 
 Splits are drawn between the smallest and largest value of a feature, so scaling the features
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,14 +22,13 @@ from pyspark.sql.window import Window
 
 from fairshare.operators.features import KEY
 from fairshare.operators.quantile import exact_quantile
-from fairshare.operators.sampling import sample_rows_by_key
+from fairshare.operators.sampling import key_digest
 from fairshare.operators.scaling import ML_FEATURES
 
 TREES = 100
 SAMPLE = 256
 CONTAMINATION = 0.05
 SEED = 42
-POOL_PER_DRAW = 4
 
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
@@ -111,21 +111,19 @@ def fit_forest(
 ) -> DataFrame:
     """One row per tree. ``rows`` is the row count of ``df``, ``key`` must tell its rows apart.
 
-    Each tree takes its rows from the pool by a hash of its own, and orders them by that hash, so
-    the forest depends on keys, values and seed only.
+    Each tree takes the rows with the least hashes of key and tree, out of all rows, and orders them
+    by that hash, so the forest depends on keys, values and seed only. One scan keeps, for every
+    tree, about twice the rows it needs.
     """
     names = list(features)
-    pool = sample_rows_by_key(df, key, rows, POOL_PER_DRAW * trees * sample, seed)
-    pool = pool.select("_digest", *names)
-    pooled = min(rows, POOL_PER_DRAW * trees * sample)
-    # every tree expects twice the rows it needs; the window then keeps exactly `sample` of them
-    share = min(1.0, 2.0 * sample / max(pooled, 1))
-    bound = int((2.0 * share - 1.0) * 2**63)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_draw", F.xxhash64("_digest", "tree", F.lit(seed))
-    )
+    hashed = df.select(key_digest(key, seed).alias("_digest"), *names)
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    share = min(1.0, 2.0 * sample / max(rows, 1))
     if share < 1.0:
-        drawn = drawn.where(F.col("_draw") < bound)
+        bound = int((2.0 * share - 1.0) * 2**63)
+        every = F.filter(every, lambda t: F.xxhash64("_digest", t, F.lit(seed)) < bound)
+    drawn = hashed.withColumn("tree", F.explode(every))
+    drawn = drawn.withColumn("_draw", F.xxhash64("_digest", "tree", F.lit(seed)))
     per_tree = Window.partitionBy("tree").orderBy("_draw", "_digest")
     chosen = drawn.withColumn("_n", F.row_number().over(per_tree)).where(F.col("_n") <= sample)
 
@@ -183,8 +181,30 @@ def flag_by_contamination(
     never flagged, and an infinite value is where it is above the threshold. Read ``df`` from storage: it is
     scanned a few times.
     """
-    threshold = exact_quantile(df, column, 1.0 - contamination)
+    return flag_above(df, column, exact_quantile(df, column, 1.0 - contamination))
+
+
+def flag_above(df: DataFrame, column: str, threshold: float | None) -> DataFrame:
+    """Add ``anomaly_score`` and ``is_anomaly`` by a threshold known before."""
     value = F.col(column)
     above = (value > F.lit(threshold)) & ~F.isnan(value.cast("double"))
     flags = {"anomaly_score": value - F.lit(threshold), "is_anomaly": F.when(above, 1).otherwise(0)}
     return df.withColumns(flags)
+
+
+@dataclass(frozen=True)
+class StoredForest:
+    """A fitted forest with what it takes to score and flag new rows as the fit did."""
+
+    trees: DataFrame
+    rows: int
+    sample: int
+    threshold: float | None
+
+
+def apply_forest(
+    df: DataFrame, stored: StoredForest, features: Iterable[str] = ML_FEATURES, into: str = "raw_score"
+) -> DataFrame:
+    """Score ``df`` with a stored forest and flag it by the threshold of the fit."""
+    scored = score(df, stored.trees, stored.rows, features, into, stored.sample)
+    return flag_above(scored, into, stored.threshold)

@@ -138,6 +138,7 @@ class PeerModel:
     centers: np.ndarray
     inertia: float
     steps: int
+    converged: bool = True
 
     @property
     def k(self) -> int:
@@ -159,10 +160,11 @@ def fit_peers(
     seed: int = SEED,
     max_steps: int = MAX_STEPS,
     tolerance: float = TOLERANCE,
+    seed_pool: int = SEED_POOL,
 ) -> dict[int, PeerModel]:
     """The best of ``restarts`` fits for every k.
 
-    First centres are seeded and settled on a bounded pool of rows, which leaves few steps to do
+    First centres are seeded and settled on a pool of at most ``seed_pool`` rows, which leaves few steps to do
     on the whole data; those run over all rows until nothing moves. ``scaled`` is kept in memory
     meanwhile; blocks that are lost are computed again.
     """
@@ -170,7 +172,7 @@ def fit_peers(
     plan = [(k, restart) for k in ks if k <= rows for restart in range(restarts)]
     if not plan:
         raise ValueError(f"{rows} rows are fewer than the smallest number of groups")
-    pool = sample_rows_by_key(scaled, key, rows, SEED_POOL, seed)
+    pool = sample_rows_by_key(scaled, key, rows, seed_pool, seed)
     runs = _first_centers(pool, names, plan, seed, max_steps)
     steps = dict.fromkeys(runs, 0)
     vectors = scaled.select(*names).persist()
@@ -192,7 +194,7 @@ def fit_peers(
     for run, centers in runs.items():
         k, cost = len(centers), float(final[run])
         if k not in best or cost < best[k].inertia:
-            best[k] = PeerModel(names, _ordered(centers), cost, steps[run])
+            best[k] = PeerModel(names, _ordered(centers), cost, steps[run], run not in active)
     return best
 
 

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from typing import Any
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fairshare.operators.forest import StoredForest
 from fairshare.operators.peers import PeerModel
 from fairshare.operators.scaling import Scaler
 
 
 def run_log(
-    spark: SparkSession, run: str, params: dict[str, Any], metrics: dict[str, float | None]
+    spark: SparkSession,
+    run: str,
+    params: dict[str, Any],
+    metrics: dict[str, float | None],
+    run_id: str | None = None,
+    started: datetime | None = None,
 ) -> DataFrame:
-    """(run, kind, key, value, number): parameters as text, metrics also as numbers."""
-    rows = [(run, "param", k, str(v), None) for k, v in params.items()]
+    """(run_id, started, run, kind, key, value, number): parameters as text, metrics also as numbers.
+
+    Without ``run_id`` and ``started`` a new id and the present time are taken.
+    """
+    same = run_id or uuid4().hex, started or datetime.now(timezone.utc), run
+    rows = [(*same, "param", k, str(v), None) for k, v in params.items()]
     rows += [
-        (run, "metric", k, str(v), None if v is None else float(v)) for k, v in metrics.items()
+        (*same, "metric", k, str(v), None if v is None else float(v)) for k, v in metrics.items()
     ]
     return spark.createDataFrame(
-        rows, "run string, kind string, key string, value string, number double"
+        rows,
+        "run_id string, started timestamp, run string, kind string, key string, value string, "
+        "number double",
     )
 
 
@@ -62,3 +77,20 @@ def peers_from(frame: DataFrame) -> PeerModel:
     first = rows[0]
     centers = np.array([r["center"] for r in rows])
     return PeerModel(list(first["columns"]), centers, first["inertia"], first["steps"])
+
+
+def forest_frame(stored: StoredForest) -> DataFrame:
+    """The trees, each with the fit's row count, sample size and threshold."""
+    return stored.trees.withColumns(
+        {
+            "fitted_rows": F.lit(stored.rows).cast("long"),
+            "sample": F.lit(stored.sample),
+            "score_threshold": F.lit(stored.threshold).cast("double"),
+        }
+    )
+
+
+def forest_from(frame: DataFrame) -> StoredForest:
+    first = frame.select("fitted_rows", "sample", "score_threshold").first()
+    trees = frame.drop("fitted_rows", "sample", "score_threshold")
+    return StoredForest(trees, *first)

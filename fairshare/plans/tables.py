@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from datetime import datetime, timezone
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ from fairshare.operators.aggregates import (
     requirements_base,
 )
 from fairshare.operators.features import build_features
+from fairshare.operators.quantile import exact_quantile
 from fairshare.operators.scaling import ML_FEATURES, Scaler, fit_scaler, ml_ready
 from fairshare.operators.serving import anomaly_summary
 from fairshare.plans import prep
@@ -73,7 +76,8 @@ class Models:
 
     anomalies: DataFrame
     scaler: Scaler
-    forest: DataFrame
+    forest: iforest.StoredForest
+    settings: dict[str, Any]
     peer_model: peers.PeerModel
     sweep: list[tuple[int, float, float | None]]
 
@@ -83,13 +87,15 @@ def scored_rows(
     trees: int = iforest.TREES,
     contamination: float = iforest.CONTAMINATION,
     seed: int = iforest.SEED,
-) -> tuple[DataFrame, DataFrame, Scaler]:
+) -> tuple[DataFrame, iforest.StoredForest, Scaler]:
     """(scored rows, forest, scaler): the model-ready rows with their score and flag."""
     ready = settle(ml_ready(features), "ready")
     scaler = fit_scaler(ready)
     trained = settle(iforest.fit_forest(ready, scaler.rows, trees=trees, seed=seed), "forest")
     scored = settle(iforest.score(ready, trained, scaler.rows), "scored")
-    return iforest.flag_by_contamination(scored, "raw_score", contamination), trained, scaler
+    threshold = exact_quantile(scored, "raw_score", 1.0 - contamination)
+    stored = iforest.StoredForest(trained, scaler.rows, iforest.SAMPLE, threshold)
+    return iforest.flag_above(scored, "raw_score", threshold), stored, scaler
 
 
 def detect(features: DataFrame, **settings) -> DataFrame:
@@ -115,20 +121,20 @@ def model(
     found = peers.sweep(scaled, scaler.rows, fitted)
     best = fitted[peers.best_k(found)]
     labelled = peers.label_rows(scaled, best).drop("raw_score", *columns)
-    return Models(labelled, scaler, trained, best, found)
+    defaults = {"contamination": iforest.CONTAMINATION, "trees": iforest.TREES}
+    return Models(labelled, scaler, trained, defaults | settings, best, found)
 
 
 def publish_models(
     spark: SparkSession,
     database: str,
     models: Models,
-    contamination: float = iforest.CONTAMINATION,
-    trees: int = iforest.TREES,
     fmt: str = "parquet",
 ) -> None:
-    """Write the anomalies table, the fitted models, and the run log."""
+    """Write the anomalies table, the fitted models, and the run log with the settings of the fit."""
+    started = datetime.now(timezone.utc)
     write_table(models.anomalies, f"{database}.anomalies", fmt)
-    write_table(models.forest, f"{database}.model_forest", fmt)
+    write_table(runs.forest_frame(models.forest), f"{database}.model_forest", fmt)
     write_table(runs.scaler_frame(spark, models.scaler), f"{database}.model_scaler", fmt)
     write_table(runs.peers_frame(spark, models.peer_model), f"{database}.model_peers", fmt)
     flagged = anomaly_summary(spark.table(f"{database}.anomalies")).first()
@@ -137,17 +143,19 @@ def publish_models(
         spark,
         "isolation_forest",
         {
-            "contamination": contamination,
-            "n_estimators": trees,
+            "contamination": models.settings["contamination"],
+            "n_estimators": models.settings["trees"],
             "n_features": len(models.scaler.columns),
         },
         {"anomaly_count": flagged["anomaly_count"], "anomaly_rate": flagged["anomaly_rate"]},
+        started=started,
     ).union(
         runs.run_log(
             spark,
             "kmeans_benchmarking",
-            {"n_clusters": models.peer_model.k},
+            {"n_clusters": models.peer_model.k, "converged": models.peer_model.converged},
             {"inertia": models.peer_model.inertia, "silhouette_score": silhouette},
+            started=started,
         )
     )
     runs.append_runs(log, f"{database}.runs", fmt)

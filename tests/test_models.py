@@ -133,10 +133,11 @@ def test_peers_find_separate_groups(spark):
     assert peers.squared_silhouette(labelled, COLUMNS, "cluster_id") > 0.95
 
 
-def test_peers_settle_on_all_rows_not_on_the_pool(spark, monkeypatch):
-    monkeypatch.setattr(peers, "SEED_POOL", 50)
+def test_peers_settle_on_all_rows_not_on_the_pool(spark):
     df = spark.createDataFrame(cloud(600, 0), "id int, a double, b double, c double")
-    model = peers.fit_peers(df, 600, COLUMNS, ["id"], ks=[3], restarts=2, tolerance=0.0)[3]
+    settings = {"ks": [3], "restarts": 2, "tolerance": 0.0, "seed_pool": 50}
+    model = peers.fit_peers(df, 600, COLUMNS, ["id"], **settings)[3]
+    assert model.converged
     x = np.array([r[1:] for r in cloud(600, 0)])
     label = ((x[:, None] - model.centers[None]) ** 2).sum(2).argmin(1)
     means = np.array([x[label == i].mean(0) for i in range(3)])
@@ -197,16 +198,19 @@ def test_features_to_published_models(spark):
                            "is_anomaly", "cluster_id"]
     assert got.count() == 400 and got.where("is_anomaly = 1").count() == 20
     spark.sql("create database if not exists models")
-    tables.publish_models(spark, "models", models, trees=20)
-    tables.publish_models(spark, "models", models, trees=20)
+    tables.publish_models(spark, "models", models)
+    tables.publish_models(spark, "models", models)
     log = spark.table("models.runs")
-    assert log.count() == 16
+    assert log.count() == 18 and log.select("run_id").distinct().count() == 4
+    assert {r["value"] for r in log.where("key = 'n_estimators'").collect()} == {"20"}
     metric = {r["key"]: r["number"] for r in log.where("kind = 'metric'").collect()}
     assert metric["anomaly_count"] == 20 and metric["anomaly_rate"] == 0.05
     assert metric["inertia"] > 0 and -1 <= metric["silhouette_score"] <= 1
     trees = spark.table("models.model_forest")
-    again = forest.score(df, trees, 400)
-    assert trees.count() == 20 and again.where("raw_score is null").count() == 0
+    stored = runs.forest_from(trees)
+    again = forest.apply_forest(df, stored).where("is_anomaly = 1").select(*forest.KEY)
+    flagged = got.where("is_anomaly = 1").select(*forest.KEY)
+    assert trees.count() == 20 and again.exceptAll(flagged).isEmpty() and again.count() == 20
 
 
 def test_scores_follow_the_tree_node_by_node(spark, points):
