@@ -5,17 +5,21 @@ from __future__ import annotations
 import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
-import pandas as pd
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-REMEMBERED = 300_000
+REMEMBERED = 250_000
+ROWS_AT_ONCE = 256
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -77,13 +81,16 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kind)) if k == BYTE}
         self.unknown = self.kind.index(UNKNOWN)
         self.text = [p.replace(SPACE, " ") if k != CONTROL else "" for p, k in zip(self.pieces, self.kind)]
-        # beginnings of pieces, and whether they are pieces themselves
-        self.standing = {p[:n]: False for p in self.ids for n in range(1, len(p))}
-        self.standing |= dict.fromkeys(self.ids, True)
+        self.characters = {p for p in self.ids if len(p) == 1}
+        self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.automaton = ahocorasick.Automaton()
+        for p in self.ids:
+            self.automaton.add_word(p, (len(p), self.ids[p]))
+        self.automaton.make_automaton()
         # where no piece has a mark after another character, a text falls apart before such marks
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.parts = re.compile(r"(?s).+" if inner else f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.stay: dict[tuple[str, str], bool] = {}
+        self.stay: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -99,66 +106,81 @@ class Transducer:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def stays(self, left: str, right: str) -> bool:
+    def name(self, number: int) -> str:
+        """The piece of a number; beyond them, numbers stand for characters without a piece."""
+        return self.pieces[number] if number < len(self.pieces) else chr(number - len(self.pieces))
+
+    def stays(self, left: int, right: int) -> bool:
         """Whether two neighbouring pieces are what merging makes of the two together."""
-        if left + right in self.ids:
-            return False
-        found = self.stay.get((left, right))
-        if found is None:
-            found = self.merged(left + right) == [left, right]
-            if len(self.stay) < REMEMBERED:
-                self.stay[left, right] = found
+        pair = [self.name(left), self.name(right)]
+        found = "".join(pair) not in self.ids and self.merged("".join(pair)) == pair
+        if len(self.stay) < REMEMBERED:
+            self.stay[left << 22 | right] = found
         return found
 
-    def _arcs(self, part: str, at: int) -> list[str]:
-        """The pieces that stand at a place, the shortest first; a character without one by itself."""
-        standing, n, out, j = self.standing, len(part), [], at + 1
-        while j <= n:
-            known = standing.get(part[at:j])
-            if known is None:
-                break
-            if known:
-                out.append(part[at:j])
-            j += 1
-        if at < n and (not out or len(out[0]) > 1):
-            out.insert(0, part[at])
-        return out
-
-    def _lightest(self, part: str) -> list[str]:
-        """The path of least weight, place by place."""
+    def _lightest(self, part: str) -> list[int]:
+        """The path of least weight, place by place; an unknown character weighs most."""
         n = len(part)
-        cost, last = [0.0] + [math.inf] * n, [""] * (n + 1)
-        for i in range(n):
-            for piece in self._arcs(part, i):
-                weight = cost[i] - self.scores.get(piece, -1e6)
-                if weight < cost[i + len(piece)]:
-                    cost[i + len(piece)], last[i + len(piece)] = weight, piece
+        weight, last = [0.0] + [math.inf] * n, [(0, 0)] * (n + 1)
+        arcs: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for end, (length, number) in self.automaton.iter(part):
+            arcs[end + 1].append((end + 1 - length, number))
+        for end, c in enumerate(part, 1):
+            if c not in self.characters:
+                arcs[end].append((end - 1, len(self.pieces) + ord(c)))
+            for start, number in arcs[end]:
+                own = -self.scores[self.pieces[number]] if number < len(self.pieces) else 1e6
+                if weight[start] + own < weight[end]:
+                    weight[end], last[end] = weight[start] + own, (start, number)
         out, at = [], n
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            at, number = last[at]
+            out.append(number)
         return out[::-1]
 
     def _finite(self, part: str) -> list[str]:
-        """The only path of finite weight, followed along the longest arcs first.
+        """The only path of finite weight, followed from the end along the longest arcs first.
 
-        Only one such path leads to a place, so a place from which none leads on is never tried again.
+        Only one such path leads from a place to the end, so a place that none leads to is never
+        tried again.
         """
-        n, out, places, left, dead = len(part), [], [0], [self._arcs(part, 0)], set()
-        while places[-1] < n:
-            arcs = left[-1]
-            while arcs:
-                piece = arcs.pop()
-                j = places[-1] + len(piece)
-                if j not in dead and (not out or self.stays(out[-1], piece)):
-                    out.append(piece)
-                    places.append(j)
-                    left.append(self._arcs(part, j))
-                    break
+        n = len(part)
+        arcs: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # of the pieces that end at a place
+        for end, (length, number) in self.automaton.iter(part):
+            arcs[end + 1].append((end + 1 - length, number))
+        if not self.characters.issuperset(part):
+            for end, c in enumerate(part, 1):
+                if c not in self.characters:
+                    arcs[end].append((end - 1, len(self.pieces) + ord(c)))
+        out, places, left, dead, stay = [], [n], [iter(arcs[n])], set(), self.stay
+        while at := places[-1]:
+            for i, number in left[-1]:
+                if i in dead:
+                    continue
+                if out:
+                    found = stay.get(number << 22 | out[-1])
+                    if not (self.stays(number, out[-1]) if found is None else found):
+                        continue
+                out.append(number)
+                places.append(i)
+                left.append(iter(arcs[i]))
+                break
             else:
                 dead.add(places.pop())
                 left.pop()
                 out.pop()
+        return out[::-1]
+
+    def _ids(self, part: str) -> list[int]:
+        """Piece numbers along the shortest path; characters without a piece go by their bytes."""
+        out: list[int] = []
+        for number in self._finite(part) if self.bpe else self._lightest(part):
+            if number < len(self.pieces):
+                out.append(number)
+            elif self.bytes:
+                out += [self.bytes[b] for b in self.name(number).encode()]
+            else:
+                out.append(self.unknown)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -166,21 +188,23 @@ class Transducer:
         if not text:
             return []
         marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        known, out = self.known, []
-        path = self._finite if self.bpe else self._lightest
+        known, neighbours, out = self.known, self.neighbours, []
         for part in self.parts.findall(marked):
             found = known.get(part)
             if found is None:
+                # no path of finite weight has a piece over two neighbours that no piece holds
+                cuts = [k for k in range(1, len(part)) if part[k - 1 : k + 1] not in neighbours]
                 found = []
-                for piece in path(part):
-                    if piece in self.ids:
-                        found.append(self.ids[piece])
-                    elif self.bytes:
-                        found += [self.bytes[b] for b in piece.encode()]
-                    else:
-                        found.append(self.unknown)
-                # frequent parts come early, so what is full stays as it is
-                if len(known) < REMEMBERED and len(part) <= 64:
+                for i, j in zip([0, *cuts], [*cuts, len(part)]):
+                    section = part[i:j]
+                    ids = known.get(section)
+                    if ids is None:
+                        ids = self._ids(section)
+                        # frequent ones come early, so what is full stays as it is
+                        if len(known) < REMEMBERED and j - i <= 64:
+                            known[section] = ids
+                    found += ids
+                if cuts and len(known) < REMEMBERED and len(part) <= 64:
                     known[part] = found
             out += found
         return out
@@ -209,26 +233,39 @@ def encode(docs: DataFrame, model: bytes | str | Path = TOKENIZER, text: str = "
     """
     shared = _shared(docs, model)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Transducer(shared.value)
-        for texts in batches:
-            yield pd.Series([made.encode(t) for t in texts], dtype=object)
+        for batch in _small(batches):
+            found = [made.encode(t or "") for t in batch.column(text).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            flat = np.fromiter(chain.from_iterable(found), np.int32, ends[-1])
+            yield batch.append_column(into, pa.ListArray.from_arrays(ends, flat))
 
-    return docs.withColumn(into, ids(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    if text == into:
+        raise ValueError("the numbers need a column of their own")
+    kept = docs.drop(into)
+    return kept.mapInArrow(ids, T.StructType([*kept.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, model: bytes | str | Path = TOKENIZER, ids: str = "ids", into: str = "text") -> DataFrame:
     """``rows`` with ``into``: the text of the piece numbers; null and empty arrays give an empty text."""
     shared = _shared(rows, model)
 
-    @F.pandas_udf("string")
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Transducer(shared.value)
-        for numbers in batches:
-            yield pd.Series([made.decode(x) for x in numbers], dtype=object)
+        for batch in _small(batches):
+            found = [made.decode(x or []) for x in batch.column(ids).to_pylist()]
+            yield batch.append_column(into, pa.array(found, pa.string()))
+
+    kept = rows.drop(into)
+    return kept.mapInArrow(texts, T.StructType([*kept.schema.fields, T.StructField(into, T.StringType())]))
+
 
-    return rows.withColumn(into, texts(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>"))))
+def _small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, since numbers take more room as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(k, ROWS_AT_ONCE)
 
 
 def _shared(df: DataFrame, model: bytes | str | Path):

@@ -74,7 +74,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid4().hex}"
     records.write.format("warc").mode("append").save(path)
-    read = spark.read.format("warc").load(path)
+    read = warc.load(spark, path)
     page = lambda c: F.substring(c, len(PAGE) + 1, 20).cast("long")
     return read.select(
         page(F.col("record_id")).alias("page_id"),
@@ -142,11 +142,11 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.decode(pieces.encode(docs.withColumnRenamed("text", "whole"), text="whole"), into="back")
     # the space mark itself reads back as a space, all else as it was
-    same = F.col("back") == F.translate(F.coalesce("whole", F.lit("")), pieces.SPACE, " ")
+    same = F.col("back") == F.replace(F.coalesce("whole", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
         F.sha2("back", 256).alias("text_sha256"),
         same.alias("same"),
     )

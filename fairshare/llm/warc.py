@@ -263,13 +263,14 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        # without files Spark asks for one partition that is None
         schema = pa.schema(
             [(f.name, {"long": pa.int64(), "binary": pa.binary()}.get(f.dataType.typeName(), pa.string())) for f in self.schema]
         )
         system, _ = _place(self.path)
         rows, size = [], 0
-        for path in partition.paths:
+        for path in partition.paths if partition else []:
             with system.open_input_file(path) as file:
                 for row in records(file, self._wanted, self.payloads):
                     rows.append({n: row[n] for n in schema.names})
@@ -347,6 +348,16 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The records below ``path``, as a relation of its own.
+
+    Spark 4.1 remembers the filters it has pushed into a Python source by relation: once a frame has
+    been filtered and run, other frames from the same ``load`` see the filtered rows. So every
+    query that filters takes a frame that this function has just made.
+    """
+    return spark.read.format("warc").options(**options).load(path)
+
+
 def with_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0) -> DataFrame:
     """(key, payload, record_type, refers_to): of equal payloads one response, the others revisit it.
 
