@@ -10,6 +10,7 @@ from fairshare.functions.parse import guarded_ratio
 
 KEY = ["country_code", "cluster_name", "year"]
 
+# Columns and what fills their gaps.
 FILLS = {
     "total_funding_usd": 0.0,
     "total_requirements_usd": 0.0,
@@ -21,6 +22,7 @@ FILLS = {
     "total_disaster_affected_5yr": 0.0,
 }
 
+# Names of the ratio columns, in their order.
 RATIOS = [
     "funding_gap_usd", "funding_gap_pct", "funding_coverage_rate",
     "beneficiary_to_funding_ratio", "need_to_requirements_ratio", "targeting_coverage_rate",

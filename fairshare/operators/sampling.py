@@ -12,7 +12,10 @@ SPARE = 4
 
 def key_digest(key: Iterable[str], seed: int) -> Column:
     """A hex digest per row key; null keys are told apart from empty ones."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in key]
+    texts = [F.col(c).cast("string") for c in key]
+    # each part with its length before it, so that different keys never give the same text
+    sized = [F.concat_ws(":", F.length(t).cast("string"), t) for t in texts]
+    parts = [F.when(t.isNull(), "null").otherwise(s) for t, s in zip(texts, sized)]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 

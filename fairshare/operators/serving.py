@@ -15,6 +15,7 @@ from fairshare.functions.parse import epsilon_ratio
 from fairshare.operators.features import KEY
 from fairshare.operators.filters import filter_values, flagged, where_in
 
+# The columns of the map, the radar and the top table.
 MAP_METRICS = [
     "funding_gap_pct", "funding_coverage_rate", "total_funding_usd",
     "total_requirements_usd", "disaster_severity_score", "total_inneed",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairshare.operators import forest, peers, runs, scaling
 from fairshare.operators.quantile import exact_quantile
-from fairshare.operators.sampling import sample_rows_by_key
+from fairshare.operators.sampling import key_digest, sample_rows_by_key
 from fairshare.plans import tables
 
 COLUMNS = ["a", "b", "c"]
@@ -288,3 +288,8 @@ def test_peer_benchmark_query_labels_once(spark, sf_dir):
 
     plan = QUERIES["peer_benchmark"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan  # labels are read from what is stored
+
+
+def test_key_digests_tell_keys_apart(rows):
+    df = rows("a string, b string", ("a|b", "c"), ("a", "b|c"), (None, "c"), ("null", "c"), ("", "c"))
+    assert df.select(key_digest(["a", "b"], 1).alias("d")).distinct().count() == 5
