@@ -6,6 +6,7 @@ import math
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 from pathlib import Path
 
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 ROWS_AT_ONCE = 256
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -79,41 +80,85 @@ class Transducer:
         if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1) or {USER, UNUSED} & set(self.kind):
             raise ValueError("only models that change nothing but spaces, without special pieces, are supported")
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kind)) if k == BYTE}
+        self.byte_numbers = frozenset(self.bytes.values())
         self.unknown = self.kind.index(UNKNOWN)
         self.text = [p.replace(SPACE, " ") if k != CONTROL else "" for p, k in zip(self.pieces, self.kind)]
         self.characters = {p for p in self.ids if len(p) == 1}
-        self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, (len(p), self.ids[p]))
-        self.automaton.make_automaton()
         # where no piece has a mark after another character, a text falls apart before such marks
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.parts = re.compile(r"(?s).+" if inner else f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
         self.stay: dict[int, bool] = {}
+        self.made: dict[int, tuple[list[str], list[str], list[float]] | None] = {}
         self.known: dict[str, list[int]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Pairs merged best score first, the left one of equals."""
-        symbols = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                score = self.scores.get(symbols[k] + symbols[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
-                return symbols
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    def _best(self, symbols: list[str]) -> tuple[float, int]:
+        """Score and place of the pair that merges next, the left one of equals; none: (-inf, -1)."""
+        best, at = -math.inf, -1
+        for k in range(len(symbols) - 1):
+            score = self.scores.get(symbols[k] + symbols[k + 1])
+            if score is not None and score > best:
+                best, at = score, k
+        return best, at
+
+    @cached_property
+    def neighbours(self) -> set[str]:
+        """Two characters that stand side by side in some piece."""
+        return {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        made = ahocorasick.Automaton()
+        for piece, number in self.ids.items():
+            made.add_word(piece, (len(piece), number))
+        made.make_automaton()
+        return made
 
     def name(self, number: int) -> str:
         """The piece of a number; beyond them, numbers stand for characters without a piece."""
         return self.pieces[number] if number < len(self.pieces) else chr(number - len(self.pieces))
 
+    def _steps(self, number: int) -> tuple[list[str], list[str], list[float]] | None:
+        """First and last symbol of a piece before each merge that makes it, and the merge's score.
+
+        None if merging makes something else of its characters.
+        """
+        if number not in self.made:
+            symbols, steps = list(self.name(number)), ([], [], [])
+            while True:
+                steps[0].append(symbols[0])
+                steps[1].append(symbols[-1])
+                score, at = self._best(symbols)
+                steps[2].append(score)
+                if at < 0:
+                    break
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            self.made[number] = steps if len(symbols) == 1 else None
+        return self.made[number]
+
+    def _apart(self, left, right) -> bool:
+        """Whether two pieces merge without ever merging over the bound between them.
+
+        The merges of both come in order of their scores, the left one's first of equals; the two
+        symbols at the bound would merge where their score is above the left's next and not
+        below the right's.
+        """
+        if left is None or right is None:
+            return False
+        (_, ends, ahead), (starts, _, behind), i, j = left, right, 0, 0
+        while True:
+            over = self.scores.get(ends[i] + starts[j])
+            if over is not None and over > ahead[i] and over >= behind[j]:
+                return False
+            if ahead[i] >= behind[j]:
+                if ahead[i] == -math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def stays(self, left: int, right: int) -> bool:
         """Whether two neighbouring pieces are what merging makes of the two together."""
-        pair = [self.name(left), self.name(right)]
-        found = "".join(pair) not in self.ids and self.merged("".join(pair)) == pair
+        found = self._apart(self._steps(left), self._steps(right))
         if len(self.stay) < REMEMBERED:
             self.stay[left << 22 | right] = found
         return found
@@ -211,6 +256,9 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece numbers; bytes that are no UTF-8 become replacement characters."""
+        if self.byte_numbers.isdisjoint(ids):
+            text = "".join(map(self.text.__getitem__, ids))
+            return text[1:] if self.prefix and text[:1] == " " else text
         kind, out, raw = self.kind, [], bytearray()
         for i in ids:
             if kind[i] == BYTE:
@@ -254,7 +302,10 @@ def decode(rows: DataFrame, model: bytes | str | Path = TOKENIZER, ids: str = "i
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Transducer(shared.value)
         for batch in _small(batches):
-            found = [made.decode(x or []) for x in batch.column(ids).to_pylist()]
+            column = batch.column(ids)
+            numbers = column.flatten().to_numpy(zero_copy_only=False).tolist()
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            found = [made.decode(numbers[a:b]) for a, b in zip([0, *ends], ends)]
             yield batch.append_column(into, pa.array(found, pa.string()))
 
     kept = rows.drop(into)
