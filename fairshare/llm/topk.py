@@ -13,6 +13,8 @@ SEGMENTS = (1, 4, 16)
 QUERIES = 2_048
 UNITS = 24
 ROWS_AT_ONCE = 256
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+LONGEST = 1e300
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -29,6 +31,27 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, spread], axis=1)
 
 
+def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as longs; one beyond a long becomes the end it is beyond."""
+    tops = [np.abs(y).max(1, initial=0.0) for y in (q, x)]
+    if q.shape[1] * tops[0].max(initial=0.0) * tops[1].max(initial=0.0) < 2.0**53:
+        return (q @ x.T).astype(np.int64)
+    out = np.zeros((len(q), len(x)), np.int64)
+    for i in range(len(q)):
+        most = q.shape[1] * tops[0][i] * tops[1]
+        small, large = most < 2.0**53, most >= 2.0**62
+        out[i, small] = (x[small] @ q[i]).astype(np.int64)
+        middle = ~small & ~large
+        if middle.any():
+            out[i, middle] = x[middle].astype(np.int64) @ q[i].astype(np.int64)
+        if large.any():
+            own = [int(a) for a in q[i]]
+            for j in np.flatnonzero(large):
+                total = sum(a * int(b) for a, b in zip(own, x[j]))
+                out[i, j] = min(max(total, LEAST), MOST)
+    return out
+
+
 def feed(best: Best, x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
     """Offer to each query the candidates that its bounds leave, with their exact inner products.
 
@@ -44,7 +67,9 @@ def feed(best: Best, x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         lengths = (q**2).sum(1)
         alive = best.rows[at : at + ROWS_AT_ONCE, None] != rows
         i, j = np.arange(len(q)), np.arange(len(x))
-        if np.isfinite(bar).all():
+        # lengths near the end of the doubles have no bounds
+        bounded = max(own.max(initial=0.0), lengths.max(initial=0.0)) < LONGEST
+        if bounded and np.isfinite(bar).all():
             for n, level in zip(SEGMENTS, levels):
                 s = statistics(q[i], n)
                 apart = (s**2).sum(1)[:, None] + (level[j] ** 2).sum(1) - 2 * (s @ level[j].T)
@@ -55,7 +80,7 @@ def feed(best: Best, x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
                 alive, i, j = alive[np.ix_(keep_i, keep_j)], i[keep_i], j[keep_j]
         if not alive.size:
             continue
-        product = q[i] @ x[j].T
+        product = exact_products(q[i], x[j])
         alive &= product >= bar[i][:, None]
         for k in np.flatnonzero(alive.any(1)):
             hit = alive[k]
@@ -63,9 +88,11 @@ def feed(best: Best, x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
-    """floor(256 x); what is too large to be summed exactly becomes infinite, and takes no part."""
+    """floor(256 x); a component for which that is no double raises an error."""
     y = np.floor(256 * x)
-    return np.where(len(y) * float(np.abs(y).max()) ** 2 < 2.0**53, y, np.inf)
+    if not np.isfinite(y).all():
+        raise ValueError("a component is too large: 256 times it is no finite number")
+    return y
 
 
 def largest_products(
@@ -76,7 +103,8 @@ def largest_products(
     Components are floor(256 x). ``queries`` is a condition on the id, named ``id``; candidates are
     all rows but the query's own, other rows with the same id among them. Fewer candidates
     than ``k`` all return; ties go to the smaller id. Null ids and vectors that are null, empty, or
-    hold null or non-finite components, or components too large for exact sums, take no part.
+    hold null or non-finite components take no part. Scores are exact; one among the ``k`` largest
+    that does not lie within the ends of a long raises an error, as does a component too large to scale.
 
     Queries form blocks; each block and share of the rows is a unit of work, and the bests of
     the shares are ranked at the end. Every row meets every block, which an exact search needs when
@@ -96,4 +124,6 @@ def largest_products(
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     names = rows.select(F.col("row").alias("query"), F.col("id").alias("query_id")).where(F.col("query").isNotNull())
     named = ranked.join(names, "query")
-    return named.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    beyond = F.raise_error(F.lit("a score does not fit a long")).cast("long")
+    score = F.when(F.col("score").isin(LEAST, MOST), beyond).otherwise(F.col("score"))
+    return named.select("query_id", "rank", F.col("id").alias("vec_id"), score.alias("score"))

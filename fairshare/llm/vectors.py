@@ -63,9 +63,9 @@ def packed(
 class Best:
     """The ``k`` best candidates of every query so far: higher scores first, then smaller ids."""
 
-    def __init__(self, rows: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, k: int, kind: type = np.float64):
         self.rows, self.vectors, self.k = rows, vectors, k
-        self.score: list[np.ndarray] = [np.zeros(0)] * len(rows)
+        self.score: list[np.ndarray] = [np.zeros(0, kind)] * len(rows)
         self.id: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rows)
         self.row: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rows)
         self.bar = np.full(len(rows), -np.inf)
@@ -73,7 +73,8 @@ class Best:
     def offer(self, q: int, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         score = np.concatenate([self.score[q], score])
         ids, rows = np.concatenate([self.id[q], ids]), np.concatenate([self.row[q], rows])
-        first = np.lexsort((rows, ids, -score))[: self.k]
+        # the complement turns every long around, the least one too
+        first = np.lexsort((rows, ids, ~score if score.dtype == np.int64 else -score))[: self.k]
         self.score[q], self.id[q], self.row[q] = score[first], ids[first], rows[first]
         if len(first) == self.k:
             self.bar[q] = score[first[-1]]
@@ -116,7 +117,7 @@ def search(units: DataFrame, feed: Feed, k: int, score: str) -> DataFrame:
                     waiting.append((row[lo:hi], _matrix(batch.column("v")[lo:hi])))
                     continue
                 if best is None and waiting:
-                    best = Best(*(np.concatenate(x) for x in zip(*waiting)), k)
+                    best = Best(*(np.concatenate(x) for x in zip(*waiting)), k, np.int64 if score == "long" else np.float64)
                 for at in range(lo, hi if best else lo, CHUNK):
                     to = min(at + CHUNK, hi)
                     feed(best, _matrix(batch.column("v")[at:to]), ids[at:to], row[at:to])
