@@ -2,4 +2,51 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+OP13 = r"""
+with texts as (
+    select doc_id, coalesce(lang, '') as part, coalesce("text", '') as t from documents
+), worded as (
+    select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words from texts
+), judged as (
+    select doc_id, part,
+        case when len(words) < 100 then 'A' else '' end
+        || case when 100 * len(list_distinct(words)) < 80 * len(words) then 'B' else '' end
+        || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 'C' else '' end
+        || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+        || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as fails
+    from worded
+), known as (
+    select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+), cells as (
+    select part, fails, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+    from judged left join known using (doc_id) group by part, fails
+), letters as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as f
+), orders as (
+    select a.f || b.f || c.f || d.f || e.f as filter_order
+    from letters a join letters b on b.f <> a.f join letters c on c.f not in (a.f, b.f)
+    join letters d on d.f not in (a.f, b.f, c.f) join letters e on e.f not in (a.f, b.f, c.f, d.f)
+), steps as (
+    select filter_order, step::int as step, substr(filter_order, step, 1) as f,
+        substr(filter_order, 1, step - 1) as before
+    from orders, range(1, 6) r(step)
+), met as (
+    select *, contains(fails, f) as failing, translate(before, fails, '') = before as there from cells, steps
+), figures as (
+    select part, filter_order, step, any_value(f) as f,
+        sum(n) filter (where there and not failing) as kept,
+        sum(n) filter (where there and failing) as removed,
+        sum(n) filter (where failing and not there) as redundant,
+        sum(n) filter (where fails = f) as unique_fails,
+        sum(good) filter (where there and failing) as good_lost,
+        sum(toxic) filter (where there and failing) as toxic_lost
+    from met group by part, filter_order, step
+)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+    coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+    coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+    coalesce(sum(removed) over (partition by part, f), 0)::bigint as shapley
+from figures
+"""
+
+SQL: dict[str, str] = {"op13_filters": OP13}

@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairshare.llm import chat, curves, licenses, mixing, pieces, pii, simhash, topk, toxicity, warc
+from fairshare.llm import audit, chat, curves, licenses, mixing, pieces, pii, simhash, topk, toxicity, warc
 from fairshare.llm.texts import count_words
 from fairshare.sources.tables import settle, shared_dir
 
@@ -162,6 +162,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", mark.alias("fingerprint"), "component_id")
 
 
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
@@ -173,4 +177,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_nearest": op9_nearest,
     "op10_simhash": op10_simhash,
+    "op13_filters": op13_filters,
 }
