@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairshare.llm import audit, chat, curves, licenses, mixing, pieces, pii, simhash, topk, toxicity, warc
+from fairshare.llm import audit, chat, curves, factors, licenses, mixing, pieces, pii, simhash, topk, toxicity, warc
 from fairshare.llm.texts import count_words
 from fairshare.sources.tables import settle, shared_dir
 
@@ -120,12 +120,12 @@ TOXIC = 0.7
 
 def held_out(doc_id) -> Column:
     """Rows of which no label may be learned."""
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Classifier:
-    """Fitted on the labels that may be learned from, whose texts are those of ``documents``."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Fitted on the documents and labels that may be learned from."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where(~held_out(F.col("doc_id")))
     labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
     return toxicity.train(docs, labels)
 
@@ -134,8 +134,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
     toxic = (F.col("score") >= TOXIC).cast("int")
-    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    return scored.select("doc_id", out.alias("held_out"), "score", toxic.alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", toxic.alias("predicted"))
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +161,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", mark.alias("fingerprint"), "component_id")
 
 
+#: Scores from here on are of good quality.
+GOOD = 0.7
+
+
+def quality_held_out(doc_id) -> Column:
+    """Rows of which no quality label may be learned."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = _table(spark, sf_dir, "labels").where(~quality_held_out(F.col("doc_id")))
+    scored = factors.score(docs, factors.train(docs, labels, metadata=("n_chars",)))
+    good = (F.col("score") >= GOOD).cast("int")
+    return scored.select("doc_id", quality_held_out(F.col("doc_id")).alias("held_out"), "score", good.alias("predicted"))
+
+
 def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -177,5 +193,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_nearest": op9_nearest,
     "op10_simhash": op10_simhash,
+    "op12_quality": op12_quality,
     "op13_filters": op13_filters,
 }

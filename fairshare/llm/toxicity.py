@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairshare.llm.samples import draw_keys, known_labels, one_text_each
+from fairshare.sources.tables import settle
+
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
 #: A word or beginning that stands so often in a text is a feature, for each of these numbers.
@@ -125,26 +128,26 @@ def train(
 ) -> Classifier:
     """Fit on at most ``most_rows`` confirmed toxic rows and as many unlabelled ones.
 
-    ``labels`` holds (key, label) of the rows that may be learned from; positives are those with
-    label 1, in order of a hash of the key. Unlabelled rows are drawn, by the same hash, from all
-    of ``labels`` with the labels ignored. The class prior is the share of label 1 among all labels.
-    Both samples are bounded by ``most_rows``; so is the text that the driver reads (whole texts,
-    turned into features on the executors). Features take part if their shares in the two samples
-    differ clearly (``CLEAR``, ``LEAST_LIFT``), at most ``vocabulary`` of them, the clearest first. Null keys and
-    null labels are not learned from. With no positives the classifier gives every text score 0.
-    Several members are trained on halves of the rows, and their mean is taken.
+    ``docs`` holds the documents that may be learned from; unlabelled rows are drawn from all of
+    them. ``labels`` holds (key, label) of the rows that may be learned from; positives are drawn
+    from those with label 1, and the class prior is the share of label 1 among all of them. Both
+    draws take distinct keys by a seeded hash and one row for each (``samples.one_text_each``).
+    Executors turn the whole texts into features and count them by class; features take part if
+    their shares in the two samples differ clearly (``CLEAR``, ``LEAST_LIFT``), at most
+    ``vocabulary`` of them, the clearest first. Only those names and their numbers in the sampled
+    rows reach the driver. Null keys and null labels are not learned from. With no positives, no
+    unlabelled rows or no such feature the classifier gives every text score 0. Several members are
+    trained on halves of the rows, and their mean is taken.
     """
-    known = labels.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isNotNull())
-    known = known.groupBy(F.col(f"`{key}`").alias("key")).agg(F.max(F.col(f"`{label}`")).alias("y"))
-    counted = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("p")).first()
+    known = settle(known_labels(labels, key, label), "known")
+    counted = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("p")).first()
     if not counted["p"]:
         return Classifier({}, -30.0, 0.0)
     prior = counted["p"] / counted["n"]
-    order = F.xxhash64("key", F.lit(seed))
-    some = known.where("y = 1").orderBy(order, "key").limit(most_rows).select("key", F.lit(True).alias("toxic"))
-    rest = known.orderBy(order, "key").limit(most_rows).select("key", F.lit(False).alias("toxic"))
-    drawn = F.broadcast(some.unionByName(rest))
-    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    some = draw_keys(known.where("y"), most_rows, seed).withColumn("toxic", F.lit(True))
+    rest = draw_keys(docs.select(F.col(f"`{key}`").alias("key")), most_rows, seed).withColumn("toxic", F.lit(False))
+    drawn = settle(some.unionByName(rest), "drawn")
+    sample = one_text_each(docs, drawn, key, text).select("key", "toxic", F.col("doc.text").alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,54 +157,50 @@ def train(
                 names=["key", "toxic", "found"],
             )
 
-    key_type = own.schema["key"].dataType.simpleString()
-    sample = own.join(drawn, "key").select("key", "toxic", "text")
-    sample = sample.mapInArrow(featured, f"key {key_type}, toxic boolean, found array<string>")
-    numbered: dict[str, int] = {}
-    rows: dict[bool, list[tuple]] = {True: [], False: []}
-    for batch in sample.toArrow().to_batches():
-        found = batch.column("found")
-        offsets, names = found.offsets.to_numpy(), found.values.dictionary_encode()
-        local = np.array([numbered.setdefault(x, len(numbered)) for x in names.dictionary.to_pylist()], dtype=np.int32)
-        number = local[names.indices.to_numpy()] if len(local) else np.zeros(0, np.int32)
-        for k, (one, toxic) in enumerate(zip(batch.column("key").to_pylist(), batch.column("toxic").to_pylist())):
-            rows[toxic].append((one, number[offsets[k] : offsets[k + 1]]))
-    return _fit(rows, list(numbered), prior, vocabulary, members, seed)
-
-
-def _fit(rows, names, prior, vocabulary, members, seed) -> Classifier:
-    """The mean of ``members`` classifiers; rows are (key, feature numbers) by class."""
-    # names sort the features and keys the rows, so that the order of arrival changes nothing
-    names_at = np.argsort(np.array(names))
-    place = np.empty(len(names), np.int64)
-    place[names_at] = np.arange(len(names))
-    names = [names[i] for i in names_at]
-    sets = {c: [place[r[1]] for r in sorted(rows[c], key=lambda r: (r[0], len(r[1])))] for c in rows}
-    if not sets[True] or not sets[False]:
+    key_type = sample.schema["key"].dataType.simpleString()
+    sample = settle(sample.mapInArrow(featured, f"key {key_type}, toxic boolean, found array<string>"), "features")
+    total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(total) < 2:
         return Classifier({}, -30.0, prior)
-    share = {c: np.bincount(np.concatenate(sets[c]), minlength=len(names)) for c in sets}
-    total = {c: len(sets[c]) for c in sets}
-    rate = {c: share[c] / total[c] for c in sets}
-    spread = np.sqrt(sum((rate[c] + 0.5 / total[c]) / total[c] for c in sets))
-    clear = (rate[True] - rate[False]) / spread
-    # a feature of toxic texts alone is 1 / prior times as frequent in them as in all texts
-    own = (clear >= CLEAR) & (rate[True] * prior >= LEAST_LIFT * rate[False])
-    best = np.lexsort((np.arange(len(names)), -clear))
-    best = np.sort(best[own[best]][:vocabulary])
-    if not len(best):
+    names = _clear_features(sample, total, prior, vocabulary)
+    if not names:
         return Classifier({}, -30.0, prior)
-    to = np.full(len(names), -1)
-    to[best] = np.arange(len(best))
-    kept = {c: [np.sort(to[x][to[x] >= 0]) for x in sets[c]] for c in sets}
+    listed = sample.sparkSession.createDataFrame(list(enumerate(names)), "number int, name string")
+    named = sample.select("key", "toxic", F.explode_outer("found").alias("name"))
+    kept = named.join(F.broadcast(listed), "name", "left").groupBy("key", "toxic")
+    kept = kept.agg(F.sort_array(F.collect_list("number")).alias("numbers")).orderBy("key")
+    rows: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for batch in kept.toArrow().to_batches():
+        numbers = batch.column("numbers")
+        offsets, flat = numbers.offsets.to_numpy(), numbers.values.to_numpy()
+        for k, toxic in enumerate(batch.column("toxic").to_pylist()):
+            rows[toxic].append(flat[offsets[k] : offsets[k + 1]])
+    return _fit(rows, names, prior, members, seed)
+
+
+def _clear_features(sample: DataFrame, total: dict[bool, int], prior: float, most: int) -> list[str]:
+    """Names of the features that stand clearly more often in toxic rows, sorted; counted on the executors."""
+    times = sample.select("toxic", F.explode("found").alias("name")).groupBy("name")
+    times = times.agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u"))
+    rate = {True: F.col("p") / total[True], False: F.col("u") / total[False]}
+    spread = F.sqrt(sum(((rate[c] + 0.5 / n) / n for c, n in total.items()), F.lit(0.0)))
+    clear = times.withColumn("clear", (rate[True] - rate[False]) / spread)
+    # a feature of toxic texts alone is 1 / prior times as frequent in them as in all texts
+    own = clear.where((F.col("clear") >= CLEAR) & (rate[True] * prior >= rate[False] * LEAST_LIFT))
+    return sorted(r["name"] for r in own.orderBy(F.desc("clear"), "name").limit(most).select("name").collect())
+
+
+def _fit(rows: dict[bool, list[np.ndarray]], names: list[str], prior: float, members: int, seed: int) -> Classifier:
+    """The mean of ``members`` classifiers; rows are feature numbers by class, in order of their keys."""
     fits = []
     for m in range(members):
         rng = np.random.default_rng(seed + m)
-        part = {c: [x[i] for i in np.sort(rng.permutation(len(x))[: max(1, (len(x) + 1) // 2)])] for c, x in kept.items()}
-        fits.append(fit_nnpu(part[True], part[False], len(best), prior))
+        part = {c: [x[i] for i in np.sort(rng.permutation(len(x))[: max(1, (len(x) + 1) // 2)])] for c, x in rows.items()}
+        fits.append(fit_nnpu(part[True], part[False], len(names), prior))
     mean = np.mean([w for w, _ in fits], axis=0)
     weights: dict[str, np.ndarray] = {}
-    for i, x in zip(best, mean):
-        at, unit = TIMES.index(int(names[i][0])), names[i][1:]
+    for name, x in zip(names, mean):
+        at, unit = TIMES.index(int(name[0])), name[1:]
         weights.setdefault(unit, np.zeros(len(TIMES)))[at:] += x
     tuples = {unit: tuple(map(float, x)) for unit, x in weights.items()}
     return Classifier(tuples, float(np.mean([b for _, b in fits])), prior)
