@@ -29,8 +29,17 @@ def _cell(value):
     return value.item() if hasattr(value, "item") else value
 
 
+def _whole(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    """``ours`` with integer columns that hold nulls as such: they arrive as floats where ``theirs`` keeps integers."""
+    for c in ours.columns.intersection(theirs.columns):
+        if str(theirs[c].dtype) == "Int64" and ours[c].dtype == float:
+            ours = ours.assign(**{c: ours[c].astype("Int64")})
+    return ours
+
+
 def differences(ours: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
     """What differs between two results, or None."""
+    ours = _whole(ours, theirs)
     if sorted(ours.columns) != sorted(theirs.columns):
         return f"columns {sorted(ours.columns)} and {sorted(theirs.columns)}"
     if len(ours) != len(theirs):
