@@ -49,4 +49,45 @@ select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(rem
 from figures
 """
 
-SQL: dict[str, str] = {"op13_filters": OP13}
+OP11 = r"""
+with recursive said as (
+    select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce("text", '')) as n,
+        {'role': coalesce(role, ''), 'text': coalesce("text", '')} as t
+    from conversations where conv_id is not null
+), lists as (
+    select c, list(t order by n) as own, c::varchar as name from said group by c
+), crc(c, name, bit, v) as (
+    -- one bit a step, from the lowest of the first character on; 3988292384 is the reversed polynomial
+    select c, name, 0, 4294967295 from lists
+    union all
+    select c, name, bit + 1, case when w % 2 = 1 then xor(w // 2, 3988292384) else w // 2 end
+    from (
+        select *, case when bit % 8 = 0 then xor(v, ascii(substr(name, bit // 8 + 1, 1))::bigint) else v end as w
+        from crc where bit < 8 * length(name)
+    )
+), heads as (
+    select c, xor(v, 4294967295) % 6 as h from crc where bit = 8 * length(name)
+), rebuilt as (
+    select l.c, list_concat(coalesce(b.own[1:h], []), l.own[h + 1:]) as s
+    from lists l join heads using (c) left join lists b on b.c = l.c - l.c % 100
+), prefixes as (
+    select c, d, s[1:d] as node, s[1:d - 1] as parent, d = len(s) as ends, length(s[d]."text") as size
+    from (select c, s, unnest(range(0, len(s) + 1)) as d from rebuilt)
+), nodes as (
+    select d, node, any_value(case when d > 0 then parent end) as parent, min(c) as conv_id, count(*) as n_convs,
+        coalesce(any_value(size), 0) as size, string_agg(c::varchar, ',' order by c) filter (where ends) as ended
+    from prefixes group by d, node
+), children as (
+    select d - 1 as d, parent as node, count(*) as n_children from nodes where d > 0 group by all
+), known as (
+    select n.*, coalesce(n_children, 0) as n_children from nodes n left join children k on k.d = n.d and k.node = n.node
+), subtrees as (
+    select a.d, a.node, count(*) filter (where b.n_children = 0) as n_leaves, sum((b.n_convs - 1) * b.size) as saved
+    from known a join known b on b.d >= a.d and b.node[1:a.d] = a.node group by a.d, a.node
+)
+select k.conv_id, k.d::bigint as depth, p.conv_id as parent_conv_id, k.n_convs, k.n_children, t.n_leaves,
+    t.saved::bigint as saved_tokens, sha256(coalesce(k.ended, '')) as ends_sha256
+from known k join subtrees t on t.d = k.d and t.node = k.node left join known p on p.d = k.d - 1 and p.node = k.parent
+"""
+
+SQL: dict[str, str] = {"op11_trie": OP11, "op13_filters": OP13}

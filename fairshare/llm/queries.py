@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairshare.llm import audit, chat, curves, factors, licenses, mixing, pieces, pii, simhash, topk, toxicity, warc
+from fairshare.llm import audit, chat, curves, factors, licenses, mixing, pieces, pii, simhash, topk, toxicity, trie, warc
 from fairshare.llm.texts import count_words
 from fairshare.sources.tables import settle, shared_dir
 
@@ -161,6 +161,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", mark.alias("fingerprint"), "component_id")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return trie.prefix_trie(*trie.share_heads(trie.numbered_turns(turns)))
+
+
 #: Scores from here on are of good quality.
 GOOD = 0.7
 
@@ -193,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_nearest": op9_nearest,
     "op10_simhash": op10_simhash,
+    "op11_trie": op11_trie,
     "op12_quality": op12_quality,
     "op13_filters": op13_filters,
 }

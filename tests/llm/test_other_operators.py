@@ -255,5 +255,5 @@ def test_pipeline(spark, sf_dir):
     assert docs.where("n_pieces <> size(ids)").count() == 0 and docs.count() > 0
     assert set(queries.QUERIES) == {
         "op1_mixing", "op2_licenses", "op3_warc", "op4_pii", "op5_chat", "op6_topk", "op7_toxicity", "op8_pieces",
-        "op9_nearest", "op10_simhash", "op12_quality", "op13_filters",
+        "op9_nearest", "op10_simhash", "op11_trie", "op12_quality", "op13_filters",
     }
