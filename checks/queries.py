@@ -596,6 +596,12 @@ def nearest_group_sizes(spark, sf_dir):
 
 
 def label_silhouette(spark, sf_dir):
+    vectors = proxies.table(spark, sf_dir, "embeddings")
+    return rounded(peers.silhouette_of_all(vectors, "embedding", ["label"]), ["silhouette"], 6)
+
+
+def label_silhouette_sample(spark, sf_dir):
+    """By Euclidean distance, over the rows with the least key digests; its SQL draws the same rows."""
     vectors = proxies.table(spark, sf_dir, "embeddings")
     found = peers.silhouette(vectors, "embedding", ["label"], ["vec_id"])
     return rounded(found, ["silhouette"], 6)
@@ -709,7 +715,8 @@ QUERIES: dict[str, Query] = {
         ml_ready, scaler_moments, scaled_features, flag_by_contamination,
         top_costly, worst_costly, costly_by_sector, costly_summary,
         costly_score_vs_gap, costly_radar,
-        nearest_center, nearest_inertia, nearest_group_sizes, label_silhouette, peer_benchmark,
+        nearest_center, nearest_inertia, nearest_group_sizes, label_silhouette,
+        label_silhouette_sample, peer_benchmark,
         isolation_forest, anomalies, top_anomalies, top_anomalies_report, worst_anomaly,
         anomaly_summary, anomalies_by_sector, score_vs_gap, radar,
         peer_sweep, peer_groups, peer_group_sizes,

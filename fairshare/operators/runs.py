@@ -63,12 +63,13 @@ def scaler_from(frame: DataFrame) -> Scaler:
 
 def peers_frame(spark: SparkSession, model: PeerModel) -> DataFrame:
     rows = [
-        (i, model.columns, [float(v) for v in center], model.inertia, model.steps)
+        (i, model.columns, [float(v) for v in center], model.inertia, model.steps, model.converged)
         for i, center in enumerate(model.centers)
     ]
     return spark.createDataFrame(
         rows,
-        "cluster_id int, columns array<string>, center array<double>, inertia double, steps int",
+        "cluster_id int, columns array<string>, center array<double>, inertia double, steps int, "
+        "converged boolean",
     )
 
 
@@ -76,7 +77,9 @@ def peers_from(frame: DataFrame) -> PeerModel:
     rows = frame.orderBy("cluster_id").collect()
     first = rows[0]
     centers = np.array([r["center"] for r in rows])
-    return PeerModel(list(first["columns"]), centers, first["inertia"], first["steps"])
+    # tables written before the flag was kept do not tell
+    converged = first["converged"] if "converged" in frame.columns else False
+    return PeerModel(list(first["columns"]), centers, first["inertia"], first["steps"], converged)
 
 
 def forest_frame(stored: StoredForest) -> DataFrame:

@@ -25,11 +25,14 @@ def sample_rows_by_key(
     """The ``size`` rows with the smallest key digests; ``rows`` is the row count of ``df``.
 
     Digests under a threshold are picked first, so that a task passes on only its share of a few
-    times ``size`` rows and not ``size`` rows of its own. Adds column ``_digest``.
+    times ``size`` rows and not ``size`` rows of its own. Where ``rows`` is too high, or keys repeat,
+    and too few pass, the threshold is dropped. Adds column ``_digest``.
     """
     digest = df.withColumn("_digest", key_digest(key, seed))
     if rows > SPARE * size:
         share = SPARE * size / rows
         limit = format(int(share * 16**12), "012x")
-        digest = digest.where(F.substring("_digest", 1, 12) < limit)
+        few = digest.where(F.substring("_digest", 1, 12) < limit).orderBy("_digest", *key).limit(size)
+        if few.select("_digest").count() == size:
+            return few
     return digest.orderBy("_digest", *key).limit(size)

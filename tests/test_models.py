@@ -144,6 +144,84 @@ def test_peers_settle_on_all_rows_not_on_the_pool(spark):
     assert np.allclose(means, model.centers)
 
 
+def test_candidates_come_from_all_rows_by_weight(spark):
+    # a few far rows among very many copies, which a plain sample would miss
+    data = [(i, 0.0, 0.0, 0.0) for i in range(4000)] + [(4000 + i, 50.0 * (i + 1), 0.0, 0.0) for i in range(5)]
+    df = spark.createDataFrame(data, "id int, a double, b double, c double")
+    points, weight = peers.seed_candidates(df, COLUMNS, ["id"], most=40)
+    assert weight.sum() == 4005 and sorted(points[:, 0]) == [0, 50, 100, 150, 200, 250]
+    assert sorted(weight) == [1, 1, 1, 1, 1, 4000]
+    again, _ = peers.seed_candidates(df.repartition(11), COLUMNS, ["id"], most=40)
+    assert np.allclose(np.sort(points, 0), np.sort(again, 0))
+    model = peers.fit_peers(df, 4005, COLUMNS, ["id"], ks=[6], restarts=2, seed_pool=40)[6]
+    assert model.inertia == pytest.approx(0, abs=1e-9)
+    none, nothing = peers.seed_candidates(df.limit(0), COLUMNS, ["id"])
+    assert len(none) == len(nothing) == 0
+    big = spark.createDataFrame(cloud(3000, 4), "id int, a double, b double, c double")
+    points, weight = peers.seed_candidates(big, COLUMNS, ["id"], most=64)
+    assert 16 < len(points) <= 65 and weight.sum() == 3000
+
+
+def test_fitted_centres_are_the_means_of_their_rows_by_sql(spark):
+    df = spark.createDataFrame(cloud(2500, 6), "id int, a double, b double, c double")
+    model = peers.fit_peers(df, 2500, COLUMNS, ["id"], ks=[5], restarts=2, tolerance=0.0, seed_pool=64)[5]
+    peers.label_rows(df, model).createOrReplaceTempView("labelled")
+    means = spark.sql("select avg(a) a, avg(b) b, avg(c) c from labelled group by cluster_id order by cluster_id").collect()
+    assert model.converged and np.allclose([list(m) for m in means], model.centers)
+    stored = runs.peers_from(runs.peers_frame(spark, model))
+    assert stored.converged
+    short = peers.fit_peers(df, 2500, COLUMNS, ["id"], ks=[5], restarts=1, tolerance=0.0, seed_pool=8, max_steps=1)[5]
+    assert not short.converged and not runs.peers_from(runs.peers_frame(spark, short)).converged
+    assert not runs.peers_from(runs.peers_frame(spark, model).drop("converged")).converged
+
+
+def test_silhouette_of_all_rows(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(7000, 3)) + 1000.0
+    label = [int(g) for g in rng.integers(0, 6, 7000)]
+    label[11] = 77
+    data = [(i, g, 1, *map(float, p)) for i, (g, p) in enumerate(zip(label, x))]
+    df = spark.createDataFrame(data, "id int, g int, one int, a double, b double, c double")
+    got = {r[0]: r[1] for r in peers.silhouette_of_all(df, COLUMNS, ["g", "one"]).collect()}
+    packed = VectorAssembler(inputCols=COLUMNS, outputCol="v").transform(df.withColumns({c: F.col(c) - 1000 for c in COLUMNS}))
+    wanted = ClusteringEvaluator(featuresCol="v", predictionCol="g").evaluate(packed)
+    assert got["g"] == pytest.approx(wanted, abs=1e-9) and got["one"] is None
+    part = peers.silhouette_of_all(df.where("id < 90"), COLUMNS, ["g"]).first()["silhouette"]
+    far = ((x[:90, None] - x[None, :90]) ** 2).sum(2)
+    own = np.array(label[:90])
+    values = []
+    for i in range(90):
+        same = (own == own[i]) & (np.arange(90) != i)
+        other = min(far[i, own == o].mean() for o in set(own.tolist()) - {own[i]})
+        values.append((other - far[i, same].mean()) / max(other, far[i, same].mean()) if same.any() else 0.0)
+    assert part == pytest.approx(np.mean(values), abs=1e-9)
+    model = peers.fit_peers(df, 7000, COLUMNS, ["id"], ks=[3, 4], restarts=1, seed_pool=64, max_steps=5)
+    for k, _, s in peers.sweep(df, 7000, model, ["id"]):
+        assert s == pytest.approx(peers.squared_silhouette(peers.label_rows(df, model[k]), COLUMNS, "cluster_id"), abs=1e-9)
+    with pytest.raises(ValueError, match="groups"):
+        peers.silhouette_of_all(df, COLUMNS, ["id"], most=50)
+
+
+def test_silhouette_of_all_with_gaps(rows):
+    df = rows("id int, v array<double>, g string", (1, [0.0, 0.0], "x"), (2, [0.0, 1.0], "x"), (3, [9.0, 9.0], "y"),
+              (4, None, "x"), (5, [None, 1.0], "y"), (6, [9.0, 9.0], None), (7, [float("nan"), 0.0], "x"), (3, [9.0, 9.0], "y"))
+    got = peers.silhouette_of_all(df, "v", ["g"]).first()["silhouette"]
+    clean = peers.silhouette_of_all(df.where("id < 4"), "v", ["g"]).first()["silhouette"]
+    near, far = 1.0, [162.0, 145.0]
+    assert got == clean == pytest.approx(np.mean([1 - near / far[0], 1 - near / far[1], 1, 1]))
+    assert peers.silhouette_of_all(df.limit(0), "v", ["g"]).first()["silhouette"] is None
+
+
+def test_a_sample_is_whole_though_the_count_is_wrong(rows):
+    df = rows("id int", *[(i,) for i in range(300)])
+    wanted = [r[0] for r in sample_rows_by_key(df, ["id"], 300, 200).orderBy("_digest").collect()]
+    assert len(wanted) == 200
+    assert [r[0] for r in sample_rows_by_key(df, ["id"], 1_000_000, 200).orderBy("_digest").collect()] == wanted
+
+
 def brute_silhouette(x, label):
     far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     out = []
