@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fairshare.plans import tables
 from fairshare.sources import ingest as ing
 from fairshare.sources.coerce import safe_coerce
-from fairshare.sources.csv import load_csv, load_hxl, spans_lines
+from fairshare.sources.csv import load_csv, load_hxl, parts_by_scan, spans_lines
 from fairshare.sources.names import plain_name, punctuated_name, tag_name, unique_names
 from fairshare.sources.tables import read_tables, register_views, settle, shared_dir, write_table
 
@@ -231,6 +231,54 @@ def test_a_line_with_too_many_cells_fails(spark, tmp_path):
     assert [tuple(r) for r in load_csv(spark, str(path)).collect()] == [("1", None), ("4", "5")]
 
 
+@pytest.mark.parametrize("line", ["3,4,,9", "3,4,", "3,4,,", '3,"4,""x",5', "3,4,5,6,7,8"])
+@pytest.mark.parametrize("multi_line", [None, False, True])
+def test_no_cell_is_lost(spark, tmp_path, line, multi_line):
+    path = put(tmp_path, "w.csv", f"a,b\n1,2\n{line}\n")
+    df = load_csv(spark, path, multi_line=multi_line)
+    for columns in (["a"], ["b"], ["a", "b"]):
+        with pytest.raises(Exception, match="more cells"):
+            df.select(*columns).collect()
+    with pytest.raises(Exception, match="more cells"):
+        df.count()
+    hxl = put(tmp_path, "w2.csv", f"A,B\n#a,#b\n1,2\n{line}\n")
+    with pytest.raises(Exception, match="more cells"):
+        load_hxl(spark, hxl, multi_line=multi_line).collect()
+
+
+def test_cells_with_commas_quotes_and_lines_are_one_cell(spark, tmp_path):
+    path = put(tmp_path, "c.csv", 'a,b\n"1,2","x ""y"", z"\n3\n,\n"l1\nl2, ""q""",5\n4,it"s, \n')
+    with pytest.raises(Exception, match="more cells"):
+        load_csv(spark, path).collect()
+    path = put(tmp_path, "d.csv", 'a,b\n"1,2","x ""y"", z"\n3\n,\n"l1\nl2, ""q""",5\n')
+    assert [tuple(r) for r in load_csv(spark, path).collect()] == [("1,2", 'x "y", z'), ("3", None), (None, None), ('l1\nl2, "q"', "5")]
+
+
+def test_an_odd_quote_slows_one_file_down(spark, tmp_path):
+    home = tmp_path / "many files"
+    home.mkdir()
+    put(home, "1.csv", "a,b\n1,x\n2,y\n")
+    put(home, "2.csv", 'a,b\n3,"two\nlines"\n')
+    put(home, "3.csv", "a,b\n4,z\n")
+    parts = parts_by_scan(spark, str(home))
+    assert [(len(files), multi) for files, multi in parts] == [(2, False), (1, True)]
+    got = sorted(tuple(r) for r in load_csv(spark, str(home)).collect())
+    assert got == [("1", "x"), ("2", "y"), ("3", "two\nlines"), ("4", "z")]
+    assert parts_by_scan(spark, f"{home}/1.csv") == [(f"{home}/1.csv", False)]
+    assert parts_by_scan(spark, f"{home}/2.csv") == [(f"{home}/2.csv", True)]
+
+
+def test_ingest_refuses_a_file_with_a_surplus_cell_and_loads_a_tagged_one(spark, tmp_path):
+    bad = put(tmp_path, "bad.csv", "a,b\n1,2\n3,4,,9\n")
+    tagged = put(tmp_path, "tagged.csv", 'Country,Need ($),Need,Date\n#country+code,#value+usd,#value+usd,#date .x\nAFG,"1,000",2,2024-01-01\nUKR,5,,2024-02-01\n', bom=True)
+    status = ing.ingest(spark, {"bad": ing.Dataset(bad), "tagged": ing.Dataset(tagged, hxl=True, constants={"year": 2025})}, "surplus")
+    got = {r["dataset"]: r for r in status.collect()}
+    assert "more cells" in got["bad"]["error"] and (got["tagged"]["rows"], got["tagged"]["cols"]) == (2, 5)
+    rows = spark.table("surplus.raw_tagged").orderBy("country_code").collect()
+    assert rows[0].asDict() == {"country_code": "AFG", "value_usd": 1000, "value_usd_1": "2", "date_.x": "2024-01-01", "year": 2025}
+    assert not spark.catalog.tableExists("surplus.raw_bad")
+
+
 def test_long_whole_numbers_stay_exact(spark, rows):
     got = safe_coerce(rows("x string, y string", ("1234567890123456789", "1"), ("2", "99999999999999999999")))
     assert got.dtypes == [("x", "bigint"), ("y", "double")]
