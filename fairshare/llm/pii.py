@@ -20,9 +20,21 @@ LETTERS = frozenset(string.ascii_letters)
 ADDRESS_END = frozenset(" \t\n\r\v\f\"'<>`|\\^{}[]")
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "login")
-
-AT, DIGIT, PLUS, IBAN, LOGIN = range(5)
+KINDS = (*BASE, "iban", "login", "secret", "account")
+
+AT, DIGIT, PLUS, IBAN, LOGIN, SECRET, PASSWORD, ACCOUNT, KEY = range(9)
+CUES = frozenset((IBAN, SECRET, PASSWORD, ACCOUNT))
+#: Names that announce a credential, a password or an account number, in three letter cases each.
+SECRET_CUES = (
+    "token", "secret", "bearer", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "access-key",
+    "accesskey", "secret key", "secret_key", "secret-key", "private key", "private_key", "privatekey", "auth_key", "credential",
+)
+PASSWORD_CUES = ("password", "passwd", "passphrase", "pwd")
+ACCOUNT_CUES = ("account", "acct", "account number", "account no", "acct no", "account_number", "account id", "account_id")
+#: Beginnings of keys that tell by themselves, the least and most characters after them.
+KEY_HEADS = {"AKIA": (16, 16), "ghp_": (36, 36), "gho_": (36, 36), "sk-": (20, 200), "xoxb-": (20, 200), "eyJ": (30, 4000)}
+CREDENTIAL = frozenset(string.ascii_letters + string.digits + "+/_=.~-")
+LEAST_SECRET, LEAST_PASSWORD, LEAST_DISTINCT = 16, 8, 6
 
 
 class Span(NamedTuple):
@@ -42,6 +54,12 @@ def automaton() -> ahocorasick.Automaton:
     for cue in ("IBAN", "iban", "Iban"):
         made.add_word(cue, (IBAN, len(cue)))
     made.add_word("://", (LOGIN, 3))
+    for kind, cues in ((SECRET, SECRET_CUES), (PASSWORD, PASSWORD_CUES), (ACCOUNT, ACCOUNT_CUES)):
+        for cue in cues:
+            for form in (cue, cue.upper(), cue.title(), cue.capitalize()):
+                made.add_word(form, (kind, len(form)))
+    for head in KEY_HEADS:
+        made.add_word(head, (KEY, len(head)))
     made.make_automaton()
     return made
 
@@ -179,16 +197,91 @@ def _logins(text: str, anchors: list[int]) -> Iterator[Span]:
             done = end
 
 
+def _value_after(text: str, cue: int) -> int:
+    """Where the value starts that a cue ending at ``cue`` announces: after ``=``, ``:`` or ``=>``; -1 without."""
+    at = cue + (text[cue : cue + 1] in ('"', "'", "`", "]"))
+    while at < cue + 4 and text[at : at + 1] in (" ", "\t"):
+        at += 1
+    mark = at
+    while at < mark + 2 and text[at : at + 1] in ("=", ":", ">"):
+        at += 1
+    if at == mark:
+        return -1
+    done = at
+    while at < done + 4 and text[at : at + 1] in (" ", "\t"):
+        at += 1
+    return at + (text[at : at + 1] in ('"', "'", "`"))
+
+
+def _credential(value: str, least: int) -> bool:
+    """Long enough, of letters and digits, and not one character over and over."""
+    mixed = not DIGITS.isdisjoint(value) and not LETTERS.isdisjoint(value)
+    return len(value) >= least and mixed and len(set(value)) >= LEAST_DISTINCT
+
+
+def _secrets(text: str, at: tuple[list[int], ...]) -> Iterator[Span]:
+    """Credentials after a cue, and keys that tell by their beginning; leftmost, without overlaps."""
+    found = []
+    for kind, least in ((SECRET, LEAST_SECRET), (PASSWORD, LEAST_PASSWORD)):
+        for cue in at[kind]:
+            start = _value_after(text, cue)
+            if text[max(cue - 6, 0) : cue].lower() == "bearer" and text[cue : cue + 1] == " ":
+                start = cue + 1
+            if start >= 0 and text[start : start + 7].lower() == "bearer ":
+                start += 7
+            if start >= 0:
+                end = _run(text, start, CREDENTIAL)
+                while end > start and text[end - 1] == ".":
+                    end -= 1
+                if _credential(text[start:end], least):
+                    found.append((start, end))
+    for start in at[KEY]:
+        if text[start - 1 : start] not in CREDENTIAL or start == 0:
+            end = _run(text, start, CREDENTIAL)
+            while end > start and text[end - 1] == ".":
+                end -= 1
+            head = next(h for h in KEY_HEADS if text.startswith(h, start))
+            low, high = KEY_HEADS[head]
+            if low <= end - start - len(head) <= high and _credential(text[start:end], LEAST_SECRET):
+                found.append((start, end))
+    done = 0
+    for start, end in sorted(found):
+        if start >= done:
+            yield Span("secret", start, end)
+            done = end
+
+
+def _accounts(text: str, cues: list[int]) -> Iterator[Span]:
+    """Six to 17 digits, single spaces or hyphens between them, after an account cue."""
+    done = 0
+    for cue in sorted(cues):
+        start = _value_after(text, cue)
+        if start < 0:
+            start = cue
+            while start < cue + 3 and text[start : start + 1] in (" ", "#", "."):
+                start += 1
+        if start < done:
+            continue
+        end = _run(text, start, DIGITS)
+        while text[end : end + 1] in (" ", "-") and text[end + 1 : end + 2] in DIGITS and end > start:
+            end = _run(text, end + 1, DIGITS)
+        closed = text[end : end + 1] not in LETTERS or end == len(text)
+        if closed and 6 <= sum(c in DIGITS for c in text[start:end]) <= 17:
+            yield Span("account", start, end)
+            done = end
+
+
 def find(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
     """All spans of the whole text, by kind as listed in ``KINDS``, then by start."""
-    at: tuple[list[int], ...] = ([], [], [], [], [])
+    at: tuple[list[int], ...] = ([], [], [], [], [], [], [], [], [])
     for end, (kind, length) in anchors.iter(text):
         # cues are followed by what they announce; other anchors are places in it
-        at[kind].append(end + 1 if kind == IBAN else end + 1 - length)
+        at[kind].append(end + 1 if kind in CUES else end + 1 - length)
     if not any(at):
         return []
     out = [*_emails(text, at[AT]), *_addresses(text, at[DIGIT]), *_cards(text, at[DIGIT])]
-    return [*out, *_phones(text, at[PLUS]), *_ibans(text, at[IBAN]), *_logins(text, at[LOGIN])]
+    out += [*_phones(text, at[PLUS]), *_ibans(text, at[IBAN]), *_logins(text, at[LOGIN])]
+    return [*out, *_secrets(text, at), *_accounts(text, at[ACCOUNT])]
 
 
 def mask(text: str, spans: list[Span]) -> str:
