@@ -371,6 +371,17 @@ def _benchmark() -> str:
       select {KEY}, cluster_id, {gaps} from grouped"""
 
 
+def _draws() -> str:
+    """Draws of all rows for all trees, by the digest of their keys."""
+    part = "case when {c} is null then 'null' else length({c}::varchar) || ':' || {c}::varchar end"
+    digest = " || '|' || ".join(part.format(c=c) for c in KEY.split(", "))
+    return f"""{_with("ready")}, hashed as (select {KEY}, md5('42|' || {digest}) d from ready),
+      draws as (
+        select {KEY}, tree, row_number() over (partition by tree order by
+          (('0x' || substr(d, 1, 12))::bigint + tree * (('0x' || substr(d, 13, 12))::bigint | 1)) % 281474976710656, d) n
+        from hashed, range(100) t(tree) qualify n <= 256)"""
+
+
 def _silhouette(distance: str, rows: str = "select vec_id from embeddings") -> str:
     return f"""{_with("components")}, drawn as ({rows}),
       points as (select * from components where vec_id in (select vec_id from drawn)),
@@ -682,6 +693,8 @@ SQL: dict[str, str] = {
     "nearest_inertia": _with("near") + "select round(sum(distance), 4) + 0.0 inertia from near",
     "nearest_group_sizes": _with("near") + """
         select cluster_id, own "label", count(*)::bigint "count" from near group by all""",
+    "forest_draws": _draws() + f""" select {KEY}, count(*) trees, sum(n)::bigint ranks from draws group by {KEY}""",
+    "forest_trees": _draws() + " select tree::int tree, 1 as \"binary\", count(*) sample from draws group by tree",
     "label_silhouette": _silhouette("sum((a.v - b.v) ** 2)"),
     "label_silhouette_sample": _silhouette(
         "sqrt(sum((a.v - b.v) ** 2))",

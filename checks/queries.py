@@ -22,6 +22,7 @@ from fairshare.operators import (
     forest,
     peers,
     quality,
+    sampling,
     scaling,
     serving,
 )
@@ -627,6 +628,25 @@ def isolation_forest(spark, sf_dir):
     return trees.select("tree", F.size("feature").alias("nodes"), leaves.alias("leaves"))
 
 
+def forest_draws(spark, sf_dir):
+    """How often each row is drawn for a tree, and the sum of its ranks there."""
+    ready = scaling.ml_ready(feature_rows(spark, sf_dir))
+    drawn = forest.draw_rows(ready).groupBy("_digest")
+    drawn = drawn.agg(F.count(F.lit(1)).alias("trees"), F.sum("n").alias("ranks"))
+    named = ready.select(*features.KEY, sampling.key_digest(features.KEY, forest.SEED).alias("_digest"))
+    return named.join(drawn, "_digest").drop("_digest")
+
+
+def forest_trees(spark, sf_dir):
+    """Per tree whether inner nodes are one less than leaves, and the rows that it was grown on."""
+    ready = settle(scaling.ml_ready(feature_rows(spark, sf_dir)), "ready")
+    trees = forest.fit_forest(ready, ready.count())
+    leaves = F.size(F.filter("feature", lambda f: f < 0))
+    whole = (F.size("feature") == leaves * 2 - 1).cast("int").alias("binary")
+    drawn = forest.draw_rows(ready).groupBy("tree").agg(F.count(F.lit(1)).alias("sample"))
+    return trees.select("tree", whole).join(drawn, "tree")
+
+
 def anomalies(spark, sf_dir):
     return anomaly_rows(spark, sf_dir)
 
@@ -717,7 +737,8 @@ QUERIES: dict[str, Query] = {
         costly_score_vs_gap, costly_radar,
         nearest_center, nearest_inertia, nearest_group_sizes, label_silhouette,
         label_silhouette_sample, peer_benchmark,
-        isolation_forest, anomalies, top_anomalies, top_anomalies_report, worst_anomaly,
+        isolation_forest, forest_draws, forest_trees, anomalies, top_anomalies,
+        top_anomalies_report, worst_anomaly,
         anomaly_summary, anomalies_by_sector, score_vs_gap, radar,
         peer_sweep, peer_groups, peer_group_sizes,
     ]

@@ -11,7 +11,7 @@ beforehand would not change them and is left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,6 +100,62 @@ def _slots(tree, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return feature, threshold, path
 
 
+#: Draws are numbers below this, a power of two.
+DRAWS = 1 << 48
+
+
+def draw_rows(
+    df: DataFrame,
+    features: Iterable[str] = ML_FEATURES,
+    key: Iterable[str] = KEY,
+    trees: int = TREES,
+    sample: int = SAMPLE,
+    seed: int = SEED,
+) -> DataFrame:
+    """(tree, n, _digest, features…): for every tree the ``sample`` rows with the least draws, by rank ``n``.
+
+    A row's draw for tree t is (a + t * b) modulo ``DRAWS``, a and b the first and next 12 hex
+    digits of the key's digest, b made odd; equal draws go by the digest. Each task keeps, for every
+    tree, the least ``sample`` of its rows and passes on no others, and the tasks' rows are merged by
+    tree, so neither a row count nor a second scan is needed and all rows can be drawn. Fewer rows
+    than ``sample`` are drawn whole.
+    """
+    names, key = list(features), list(key)
+    digest = key_digest(key, seed)
+    part = lambda at: F.conv(F.substring("_digest", at, 12), 16, 10).cast("long")
+    rows = df.select(digest.alias("_digest"), *[F.col(c).cast("double").alias(c) for c in names])
+    rows = rows.select("_digest", part(1).alias("_a"), part(13).bitwiseOR(F.lit(1).cast("long")).alias("_b"), *names)
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame | None] = [None] * trees
+        worst = np.full(trees, DRAWS, np.int64)
+        for batch in batches:
+            a, b = batch["_a"].to_numpy(np.int64), batch["_b"].to_numpy(np.int64)
+            batch = batch.drop(columns=["_a", "_b"])
+            for tree in range(trees):
+                # b is below 2 ** 48 and trees are few, so nothing overflows
+                draw = (a + tree * b) % DRAWS
+                good = np.flatnonzero(draw <= worst[tree])
+                if not len(good):
+                    continue
+                new = batch.iloc[good].assign(_draw=draw[good])
+                both = new if held[tree] is None else pd.concat([held[tree], new])
+                if len(both) > sample:
+                    both = both.sort_values(["_draw", "_digest"], kind="stable").iloc[:sample]
+                    worst[tree] = both["_draw"].iloc[-1]
+                held[tree] = both
+        for tree, own in enumerate(held):
+            if own is not None:
+                yield own.assign(tree=tree)[["tree", "_draw", "_digest", *names]]
+
+    if trees >= 1 << 15:
+        raise ValueError(f"{trees} trees")
+    schema = "tree int, _draw long, _digest string, " + ", ".join(f"`{c}` double" for c in names)
+    drawn = rows.mapInPandas(least, schema)
+    per_tree = Window.partitionBy("tree").orderBy("_draw", "_digest")
+    return drawn.withColumn("n", F.row_number().over(per_tree)).where(F.col("n") <= sample).drop("_draw")
+
+
 def fit_forest(
     df: DataFrame,
     rows: int,
@@ -109,31 +165,21 @@ def fit_forest(
     sample: int = SAMPLE,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row per tree. ``rows`` is the row count of ``df``, ``key`` must tell its rows apart.
+    """One row per tree. ``key`` must tell the rows of ``df`` apart; the draw does not use ``rows``.
 
-    Each tree takes the rows with the least hashes of key and tree, out of all rows, and orders them
-    by that hash, so the forest depends on keys, values and seed only. One scan keeps, for every
-    tree, about twice the rows it needs.
+    Each tree takes the rows with the least draws (``draw_rows``), out of all rows, in their order,
+    so the forest depends on keys, values and seed only.
     """
     names = list(features)
-    hashed = df.select(key_digest(key, seed).alias("_digest"), *names)
-    every = F.sequence(F.lit(0), F.lit(trees - 1))
-    share = min(1.0, 2.0 * sample / max(rows, 1))
-    if share < 1.0:
-        bound = int((2.0 * share - 1.0) * 2**63)
-        every = F.filter(every, lambda t: F.xxhash64("_digest", t, F.lit(seed)) < bound)
-    drawn = hashed.withColumn("tree", F.explode(every))
-    drawn = drawn.withColumn("_draw", F.xxhash64("_digest", "tree", F.lit(seed)))
-    per_tree = Window.partitionBy("tree").orderBy("_draw", "_digest")
-    chosen = drawn.withColumn("_n", F.row_number().over(per_tree)).where(F.col("_n") <= sample)
+    chosen = draw_rows(df, names, key, trees, sample, seed)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
-        ordered = group.sort_values("_n")
+        ordered = group.sort_values("n")
         nodes = grow_tree(ordered[names].to_numpy(np.float64), np.random.default_rng([seed, tree]))
         return pd.DataFrame({"tree": [tree], **{k: [v] for k, v in nodes.items()}})
 
-    return chosen.select("tree", "_n", *names).groupBy("tree").applyInPandas(build, TREE_SCHEMA)
+    return chosen.select("tree", "n", *names).groupBy("tree").applyInPandas(build, TREE_SCHEMA)
 
 
 def score(

@@ -40,7 +40,23 @@ def run_log(
 
 
 def append_runs(log: DataFrame, table: str, fmt: str = "parquet") -> None:
-    log.coalesce(1).write.format(fmt).mode("append").saveAsTable(table)
+    """Add the runs of ``log``, in place of what ``table`` holds of the same ``run_id``.
+
+    The table is partitioned by run, and only partitions of the written runs are replaced, so a write
+    that is tried again adds nothing twice. A table that is not partitioned is appended to.
+    """
+    spark = log.sparkSession
+    if not spark.catalog.tableExists(table):
+        log.repartition("run_id").write.format(fmt).partitionBy("run_id").saveAsTable(table)
+        return
+    if not any(c.isPartition for c in spark.catalog.listColumns(table)):
+        log.coalesce(1).write.format(fmt).mode("append").saveAsTable(table)
+        return
+    columns = [c for c in spark.table(table).columns if c != "run_id"]
+    for (run,) in log.select("run_id").distinct().collect():
+        named = run.replace("\\", "\\\\").replace("'", "\\'")
+        own = log.where(F.col("run_id") == run).select(*columns).coalesce(1)
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (run_id = '{named}') SELECT * FROM {{own}}", own=own)
 
 
 def scaler_frame(spark: SparkSession, scaler: Scaler) -> DataFrame:

@@ -130,8 +130,13 @@ def publish_models(
     database: str,
     models: Models,
     fmt: str = "parquet",
+    run_id: str | None = None,
 ) -> None:
-    """Write the anomalies table, the fitted models, and the run log with the settings of the fit."""
+    """Write the anomalies table, the fitted models, and the run log with the settings of the fit.
+
+    With a ``run_id`` publishing again replaces the log of that run; without one it is a new run.
+    """
+    ids = {name: run_id and f"{run_id}-{name}" for name in ("isolation_forest", "kmeans_benchmarking")}
     started = datetime.now(timezone.utc)
     write_table(models.anomalies, f"{database}.anomalies", fmt)
     write_table(runs.forest_frame(models.forest), f"{database}.model_forest", fmt)
@@ -148,14 +153,16 @@ def publish_models(
             "n_features": len(models.scaler.columns),
         },
         {"anomaly_count": flagged["anomaly_count"], "anomaly_rate": flagged["anomaly_rate"]},
-        started=started,
+        ids["isolation_forest"],
+        started,
     ).union(
         runs.run_log(
             spark,
             "kmeans_benchmarking",
             {"n_clusters": models.peer_model.k, "converged": models.peer_model.converged},
             {"inertia": models.peer_model.inertia, "silhouette_score": silhouette},
-            started=started,
+            ids["kmeans_benchmarking"],
+            started,
         )
     )
     runs.append_runs(log, f"{database}.runs", fmt)

@@ -291,6 +291,28 @@ def test_features_to_published_models(spark):
     assert trees.count() == 20 and again.exceptAll(flagged).isEmpty() and again.count() == 20
 
 
+def test_a_run_that_is_written_again_stays_one(spark):
+    spark.sql("create database if not exists logged")
+    for value in (1.0, 2.0):
+        runs.append_runs(runs.run_log(spark, "a", {"x": 1}, {"m": value, "none": None}, run_id="one"), "logged.runs")
+        runs.append_runs(runs.run_log(spark, "b", {}, {"m": 5.0}, run_id="two/2's"), "logged.runs")
+    got = spark.table("logged.runs")
+    assert sorted((r["run_id"], r["key"], r["number"]) for r in got.collect() if r["kind"] == "metric") == [
+        ("one", "m", 2.0), ("one", "none", None), ("two/2's", "m", 5.0)]
+    assert got.count() == 4
+
+
+def test_draws_are_whole_whatever_the_partitions(spark):
+    df = spark.createDataFrame(cloud(900, 1), "id int, a double, b double, c double")
+    settings = (COLUMNS, ["id"], 7, 40)
+    one = sorted((r["tree"], r["n"], r["_digest"]) for r in forest.draw_rows(df.repartition(1), *settings).collect())
+    many = sorted((r["tree"], r["n"], r["_digest"]) for r in forest.draw_rows(df.repartition(13), *settings).collect())
+    assert one == many and len(one) == 7 * 40
+    few = forest.draw_rows(df.where("id < 9").union(df.where("id < 9")), *settings)
+    assert few.groupBy("tree").count().where("count <> 18").count() == 0
+    assert forest.draw_rows(df.limit(0), *settings).count() == 0
+
+
 def test_scores_follow_the_tree_node_by_node(spark, points):
     trees = forest.fit_forest(points, 2000, COLUMNS, ["id"], trees=5, sample=64)
     got = forest.score(points, trees, 2000, COLUMNS, sample=64).where("id < 50").collect()
