@@ -5,6 +5,9 @@ Written from the definitions, not from the DataFrame code: ``proxies.py`` has th
 
 from __future__ import annotations
 
+from fairshare.functions.labels import SECTOR_MAP
+
+UNKNOWN_LABELS = ["no such sector", "", "wash-total"]
 ML_FEATURES = [
     "funding_coverage_rate", "funding_gap_pct", "beneficiary_to_funding_ratio",
     "need_to_requirements_ratio", "targeting_coverage_rate", "cost_per_beneficiary",
@@ -264,6 +267,18 @@ LABEL = """case lower(trim(sector_description)) when 'automobile' then 'logistic
     when 'machinery' then 'logistics' end"""
 
 
+def _sector_labels() -> str:
+    listed = ", ".join("'" + x.replace("'", "''") + "'" for x in [*SECTOR_MAP, *UNKNOWN_LABELS])
+    known = ", ".join("('" + "', '".join(x.replace("'", "''") for x in pair) + "')" for pair in SECTOR_MAP.items())
+    n = len(SECTOR_MAP) + len(UNKNOWN_LABELS)
+    return f"""with raw as (
+        select o_custkey % 3 k, ([{listed}])[o_orderkey % {n} + 1] l from orders),
+      spelled as (select case k when 0 then upper(l) when 1 then '  ' || l || ' ' else l end "label" from raw),
+      known(l, sector) as (values {known})
+      select "label", sector, count(*)::bigint "rows"
+      from spelled left join known on known.l = lower(trim("label")) group by all"""
+
+
 def _union(parts) -> str:
     return "\nunion all\n".join(parts)
 
@@ -495,6 +510,15 @@ SQL: dict[str, str] = {
     "canonical_labels": _with("needs_raw") + f"""
         select country_code, sector_description, {LABEL} sector, count(*)::bigint "rows"
         from needs_raw group by all""",
+    "sector_labels": _sector_labels(),
+    "allocation_report": _allocation("impact", FORTY, f"""
+        select country_code "Country", cluster_name "Cluster",
+          '$' || format('{{:,.0f}}', requirements) "Requirements",
+          '$' || format('{{:,.0f}}', allocated_usd) "Allocated",
+          format('{{:.1f}}', allocation * 100) || '%' "Allocation %",
+          format('{{:,.0f}}', expected_beneficiaries) "Exp. Beneficiaries",
+          format('{{:.4f}}', impact_per_dollar) "Impact/Dollar"
+        from (select {ALLOC_COLUMNS} from alloc)"""),
     "cleaned_requirements": _with("req_clean") + """
         select appeal_id, cluster_name, "year", total_requirements_usd, total_funding_usd
         from req_clean""",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from checks import proxies
 from fairshare.functions import display
-from fairshare.functions.labels import with_canonical_label
+from fairshare.functions.labels import SECTOR_MAP, with_canonical_label
 from fairshare.operators import (
     aggregates,
     allocate,
@@ -34,6 +34,7 @@ from fairshare.sources.tables import read_tables, settle, shared_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 BUDGET_SHARE = 0.4
+UNKNOWN_LABELS = ["no such sector", "", "wash-total"]
 CANONICAL = {
     "automobile": "logistics",
     "building": "shelter and nfi",
@@ -191,6 +192,18 @@ def canonical_labels(spark, sf_dir):
     )
 
 
+def sector_labels(spark, sf_dir):
+    """Orders labelled in turn with every known label, spelled three ways, and a few unknown ones."""
+    raw = F.array(*[F.lit(x) for x in [*SECTOR_MAP, *UNKNOWN_LABELS]])
+    number = F.col("o_orderkey") % (len(SECTOR_MAP) + len(UNKNOWN_LABELS))
+    label = F.get(raw, number.cast("int"))
+    spelled = F.when(F.col("o_custkey") % 3 == 0, F.upper(label))
+    spelled = spelled.when(F.col("o_custkey") % 3 == 1, F.concat(F.lit("  "), label, F.lit(" "))).otherwise(label)
+    rows = proxies.table(spark, sf_dir, "orders").select(spelled.alias("label"))
+    named = with_canonical_label(rows, "label", "sector").groupBy("label", "sector")
+    return named.agg(F.count(F.lit(1)).alias("rows"))
+
+
 def cleaned_requirements(spark, sf_dir):
     prepped = prep.prep_requirements(proxies.requirements(spark, sf_dir))
     return aggregates.clean_requirements(prepped).select(
@@ -488,6 +501,10 @@ def funded_lines(spark, sf_dir):
     return _rounded_allocation(allocate.funded_lines(_allocated(spark, sf_dir, "impact")))
 
 
+def allocation_report(spark, sf_dir):
+    return display.allocation_report(_rounded_allocation(_allocated(spark, sf_dir, "impact")))
+
+
 def available_funding(spark, sf_dir):
     found = allocate.available_funding(feature_rows(spark, sf_dir))
     return rounded(found, ["budget_usd"], 4)
@@ -717,7 +734,7 @@ QUERIES: dict[str, Query] = {
         flag_with_gaps, nearest_center_with_gaps,
         prep_requirements, prep_needs, prep_population,
         prep_projects, prep_contributions, prep_disasters,
-        canonical_labels, cleaned_requirements,
+        canonical_labels, sector_labels, cleaned_requirements,
         merged_requirements, unbacked_rows, base_requirements,
         needs_by_country, needs_by_sector, population_by_country, latest_population,
         contributions_by_fund_year, disasters_by_country,
@@ -731,7 +748,7 @@ QUERIES: dict[str, Query] = {
         project_points, country_bubbles, bubble_diagonal, coverage_heatmap,
         contributions_filtered, top_funds, pledged_vs_paid,
         allocate_impact, allocate_beneficiaries, allocate_default_budget,
-        allocation_totals, top_allocations, funded_lines, available_funding,
+        allocation_totals, top_allocations, funded_lines, allocation_report, available_funding,
         ml_ready, scaler_moments, scaled_features, flag_by_contamination,
         top_costly, worst_costly, costly_by_sector, costly_summary,
         costly_score_vs_gap, costly_radar,
