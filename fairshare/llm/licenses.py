@@ -19,6 +19,23 @@ PHRASES = [
     ("cc-by-nc", "cc by nc"),
 ]
 
+# Short statements that count where their words stand consecutively, beside the phrases.
+STATEMENTS = [
+    ("gpl", "under the gnu general public license"),
+    ("lgpl", "under the gnu lesser general public license"),
+    ("agpl", "under the gnu affero general public license"),
+    ("mpl-2", "mozilla public license version 2"),
+    ("apache-2", "licensed under the apache license 2"),
+    ("bsd", "under the bsd license"),
+    ("bsd", "bsd 2 clause"),
+    ("bsd", "bsd 3 clause"),
+    ("isc", "under the isc license"),
+    ("cc-by", "licensed under cc by 4"),
+    ("cc-by-sa", "cc by sa"),
+    ("cc0", "cc0 1 0"),
+    ("reserved", "all rights reserved"),
+]
+
 # Notices that count if most of their words stand together.
 NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this "
@@ -46,27 +63,31 @@ NOTICES = [
 MOST_WORDS = 1_000_000
 
 
-def _templates(spark: SparkSession, phrases, notices, k: int) -> DataFrame:
+def _templates(spark: SparkSession, phrases, statements, notices, k: int) -> DataFrame:
     """A row for each k-gram position of each template, and one that stands for every document."""
-    listed = [(label, text, True) for label, text in phrases] + [(label, text, False) for label, text in notices]
-    if sum(len(text.split()) for _, text, _ in listed) > MOST_WORDS:
+    kinds = ((phrases, True, True), (statements, False, True), (notices, False, False))
+    listed = [(label, text, exact, strict) for pairs, exact, strict in kinds for label, text in pairs]
+    if sum(len(text.split()) for _, text, *_ in listed) > MOST_WORDS:
         raise ValueError(f"templates of more than {MOST_WORDS} words in all")
-    if short := [text for _, text, _ in listed if len(text.split()) < k]:
+    if short := [text for _, text, *_ in listed if len(text.split()) < k]:
         raise ValueError(f"templates of fewer than {k} words: {short}")
     rows = [
-        F.struct(F.lit(n).alias("template"), F.lit(label).alias("label"), F.lit(exact).alias("exact"), F.lit(text).alias("text"))
-        for n, (label, text, exact) in enumerate(listed)
+        F.struct(
+            F.lit(n).alias("template"), F.lit(label).alias("label"), F.lit(exact).alias("exact"),
+            F.lit(strict).alias("strict"), F.lit(text).alias("text"),
+        )
+        for n, (label, text, exact, strict) in enumerate(listed)
     ]
     whole = spark.range(1).select(F.inline(F.array(*rows)))
     whole = whole.withColumn("t", F.split("text", " ")).withColumn("length", F.size("t"))
     grams = whole.select(
-        "template", "label", "exact", "length", "t", F.explode(F.sequence(F.lit(0), F.col("length") - k)).alias("at")
+        "template", "label", "exact", "strict", "length", "t", F.explode(F.sequence(F.lit(0), F.col("length") - k)).alias("at")
     )
     at = [F.get("t", F.col("at") + j) for j in range(k)]
-    grams = grams.select("template", "label", "exact", "length", "at", F.xxhash64(*at).alias("gram"), F.slice("t", F.col("at") + 1, k).alias("same"))
+    grams = grams.select("template", "label", "exact", "strict", "length", "at", F.xxhash64(*at).alias("gram"), F.slice("t", F.col("at") + 1, k).alias("same"))
     document = spark.range(1).select(
         F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(True).alias("exact"),
-        F.lit(0).alias("length"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("gram"),
+        F.lit(True).alias("strict"), F.lit(0).alias("length"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("gram"),
         F.lit(None).cast("array<string>").alias("same"),
     )
     return grams.unionByName(document)
@@ -76,6 +97,7 @@ def license_spans(
     docs: DataFrame,
     text: str = "text",
     phrases: Iterable[tuple[str, str]] = PHRASES,
+    statements: Iterable[tuple[str, str]] = STATEMENTS,
     notices: Iterable[tuple[str, str]] = NOTICES,
     k: int = 3,
     slack: int = 3,
@@ -85,16 +107,16 @@ def license_spans(
 
     Words are taken from the whole text with A-Z lowered. All its rolling hashes of ``k`` words meet
     the template positions in one join; hits vote for the diagonal (place in the text less place
-    in the template). A phrase is found where its whole diagonal is. For notices, diagonals at
+    in the template). A phrase or statement is found where its whole diagonal is. For notices, diagonals at
     most ``slack`` words apart merge, so words put in or left out do not part a span, and the span
     stays if the template's words in it, compared as words, are at least ``share`` of the template.
 
-    ``spans`` is an array of (label, exact, start, end, coverage), words from 0, end exclusive, in
+    ``spans`` is an array of (label, exact, start, end, coverage), ``exact`` for phrases alone, words from 0, end exclusive, in
     order of start. Rows stay as they are, repeated ones too; null and empty texts have no words
     and no spans. No Python runs on the rows. Templates are broadcast; they hold at most
     ``MOST_WORDS`` words.
     """
-    templates = F.broadcast(_templates(docs.sparkSession, list(phrases), list(notices), k))
+    templates = F.broadcast(_templates(docs.sparkSession, list(phrases), list(statements), list(notices), k))
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
     words = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -115,24 +137,24 @@ def license_spans(
         "row",
         F.when(document, F.col("doc")).alias("doc"),
         F.size("w").alias("n_words"),
-        "template", "label", "exact", "length", "at", "place",
+        "template", "label", "exact", "strict", "length", "at", "place",
         (F.col("place") - F.col("at")).alias("diagonal"),
     )
-    template = ["row", "template", "label", "exact", "length"]
+    template = ["row", "template", "label", "exact", "strict", "length"]
     firsts = [F.first("doc", ignorenulls=True).alias("doc"), F.max("n_words").alias("n_words")]
     ends = [F.min("place").alias("start"), F.max("place").alias("last")]
     diagonals = hits.repartition("row").groupBy(*template, "diagonal")
     diagonals = diagonals.agg(*firsts, *ends, F.collect_list("at").alias("at"))
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
-    apart = (F.col("exact") | gap.isNull() | (gap > slack)).cast("int")
+    apart = (F.col("strict") | gap.isNull() | (gap > slack)).cast("int")
     groups = diagonals.withColumn("apart", apart).withColumn("group", F.sum("apart").over(along))
     merged = groups.groupBy(*template, "group").agg(
         *firsts, F.min("start").alias("start"), F.max("last").alias("last"), F.flatten(F.collect_list("at")).alias("at")
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda t: F.sequence(t, t + (k - 1))))))
     merged = merged.withColumn("coverage", F.when(~document, covered / F.col("length")))
-    enough = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(share))
+    enough = F.when(F.col("strict"), F.lit(1.0)).otherwise(F.lit(share))
     held = merged.where(document | (F.col("coverage") >= enough))
     span = F.struct(
         F.col("start").cast("long").alias("start"), (F.col("last") + k).cast("long").alias("end"), "label", "exact", "coverage"
