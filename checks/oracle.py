@@ -5,6 +5,7 @@ Written from the definitions, not from the DataFrame code: ``proxies.py`` has th
 
 from __future__ import annotations
 
+from checks import trees
 from fairshare.functions.labels import SECTOR_MAP
 
 UNKNOWN_LABELS = ["no such sector", "", "wash-total"]
@@ -463,6 +464,32 @@ TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+def _leaf(tree) -> str:
+    """The path length of a row in a tree; nulls and NaN go left."""
+    if isinstance(tree, float):
+        return f"{tree}::double"
+    feature, threshold, low, high = tree
+    right = f"{feature} > {threshold} and not isnan({feature})"
+    return f"(case when {right} then {_leaf(high)} else {_leaf(low)} end)"
+
+
+def _stored_forest() -> str:
+    n, paths = trees.SAMPLE, " + ".join(_leaf(t) for t in trees.TREES)
+    norm = f"(2 * (ln({n - 1}) + 0.5772156649015329) - 2 * {n - 1}::double / {n})"
+    return f"""
+        with cells as (
+          select l_orderkey, l_linenumber,
+            case when l_linenumber <> 4 then l_quantity::double end quantity,
+            l_extendedprice::double price,
+            case when l_linenumber = 2 then 'nan'::double else l_discount::double end discount
+          from lineitem),
+        scored as (
+          select l_orderkey, l_linenumber, 2 ** (-({paths}) / {len(trees.TREES)} / {norm}) s from cells)
+        select l_orderkey, l_linenumber, round(s, 9) + 0.0 raw_score,
+          round(s - {trees.FLAG_ABOVE}::double, 9) + 0.0 anomaly_score, (s > {trees.FLAG_ABOVE})::int is_anomaly
+        from scored"""
+
+
 SQL: dict[str, str] = {
     "coerce_orders": """
         select o_orderkey order_id, o_totalprice::decimal(18,2)::double price,
@@ -717,6 +744,19 @@ SQL: dict[str, str] = {
     "nearest_inertia": _with("near") + "select round(sum(distance), 4) + 0.0 inertia from near",
     "nearest_group_sizes": _with("near") + """
         select cluster_id, own "label", count(*)::bigint "count" from near group by all""",
+    "stored_forest_flags": _stored_forest(),
+    "flag_by_sketches": """
+        select l_orderkey, l_linenumber, l_extendedprice,
+          round(l_extendedprice - t, 4) + 0.0 anomaly_score,
+          (l_extendedprice > t)::int is_anomaly
+        from lineitem, (select quantile_cont(l_extendedprice, 0.95) t from lineitem)""",
+    "donors_merged": """
+        with g as (
+          select n_name, year(o_orderdate)::varchar y, case when o_custkey % 10 <> 0 then o_custkey end d
+          from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)
+        select 'fund' "level", n_name "name", count(distinct d) num_donors, true near from g group by 2
+        union all select 'year', y, count(distinct d), true from g group by 2
+        union all select 'all', '', count(distinct d), true from g""",
     "forest_draws": _draws() + f""" select {KEY}, count(*) trees, sum(n)::bigint ranks from draws group by {KEY}""",
     "forest_trees": _draws() + " select tree::int tree, 1 as \"binary\", count(*) sample from draws group by tree",
     "label_silhouette": _silhouette("sum((a.v - b.v) ** 2)"),

@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import proxies
+from checks import proxies, trees
 from fairshare.functions import display
 from fairshare.functions.labels import SECTOR_MAP, with_canonical_label
 from fairshare.operators import (
@@ -22,6 +22,8 @@ from fairshare.operators import (
     forest,
     peers,
     quality,
+    quantile,
+    runs,
     sampling,
     scaling,
     serving,
@@ -261,6 +263,30 @@ def contributions_by_fund_year(spark, sf_dir):
     return rounded(by, ["total_pledged_usd", "total_paid_usd"], 3)
 
 
+def donors_merged(spark, sf_dir):
+    """Donors by fund, by year and at all: counted, and estimated from stored sketches of fund and year."""
+    orders = proxies.table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    customer = proxies.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = proxies.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country_name"))
+    funds = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    donor = F.when(F.col("o_custkey") % 10 != 0, F.concat(F.lit("donor "), "o_custkey"))
+    gifts = orders.join(funds, F.col("o_custkey") == F.col("c_custkey")).select(
+        "country_name", "year", donor.alias("donor_name")
+    )
+    sketches = settle(aggregates.donor_sketches(gifts), "donors")
+    most = F.lit(4 * aggregates.donor_error())
+    out = None
+    for level, keys in {"fund": ["country_name"], "year": ["year"], "all": []}.items():
+        about = aggregates.donors_by(sketches, keys).withColumnRenamed("num_donors", "about")
+        exact = gifts.groupBy(*keys).agg(F.count_distinct("donor_name").alias("num_donors"))
+        name = F.col(keys[0]).cast("string") if keys else F.lit("")
+        part = exact.join(about, keys) if keys else exact.withColumn("about", about.scalar())
+        near = F.abs(F.col("about") - F.col("num_donors")) <= F.greatest(F.lit(1.0), most * F.col("num_donors"))
+        part = part.select(F.lit(level).alias("level"), name.alias("name"), "num_donors", near.alias("near"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def disasters_by_country(spark, sf_dir):
     prepped = prep.prep_disasters(proxies.disasters(spark, sf_dir))
     return rounded(aggregates.disasters_by_country(prepped), CONTEXT_VALUES[4:], 3)
@@ -542,6 +568,35 @@ def flag_by_contamination(spark, sf_dir):
     return rounded(flagged, ["anomaly_score"], 4)
 
 
+def flag_by_sketches(spark, sf_dir):
+    """Line items above the exact 95 % quantile, found from stored sketches by return flag and month."""
+    lines = proxies.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", F.month("l_shipdate").alias("month")
+    )
+    made = quantile.value_sketches(lines, "l_extendedprice", ["l_returnflag", "month"])
+    rows = lines.drop("l_returnflag", "month")
+    flagged = forest.flag_by_contamination(rows, "l_extendedprice", sketches=settle(made, "sketches"))
+    return rounded(flagged, ["anomaly_score"], 4)
+
+
+def stored_forest_flags(spark, sf_dir):
+    """Line items scored and flagged by a forest that was stored and read again; gaps go left."""
+    lines = proxies.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_linenumber") != 4, F.col("l_quantity").cast("double")).alias("quantity"),
+        F.col("l_extendedprice").cast("double").alias("price"),
+        F.when(F.col("l_linenumber") == 2, float("nan")).otherwise(F.col("l_discount").cast("double")).alias("discount"),
+    )
+    grown = [(i, *trees.arrays(tree)) for i, tree in enumerate(trees.TREES)]
+    frame = spark.createDataFrame(grown, forest.TREE_SCHEMA)
+    stored = forest.StoredForest(frame, 1000, trees.SAMPLE, trees.FLAG_ABOVE)
+    again = runs.forest_from(settle(runs.forest_frame(stored), "forest"))
+    flagged = forest.apply_forest(lines, again, trees.FEATURES, in_engine=True)
+    kept = flagged.select("l_orderkey", "l_linenumber", "raw_score", "anomaly_score", "is_anomaly")
+    return rounded(kept, ["raw_score", "anomaly_score"], 9)
+
+
 def top_costly(spark, sf_dir):
     top = serving.top_anomalies(costly_rows(spark, sf_dir))
     return rounded(top, top.columns[3:], 4)
@@ -737,7 +792,7 @@ QUERIES: dict[str, Query] = {
         canonical_labels, sector_labels, cleaned_requirements,
         merged_requirements, unbacked_rows, base_requirements,
         needs_by_country, needs_by_sector, population_by_country, latest_population,
-        contributions_by_fund_year, disasters_by_country,
+        contributions_by_fund_year, donors_merged, disasters_by_country,
         joined_context, sector_totals, feature_table,
         null_profile, range_check, zero_check, join_coverage,
         duplicate_keys, duplicate_keys_unmerged, duplicate_groups,
@@ -749,7 +804,8 @@ QUERIES: dict[str, Query] = {
         contributions_filtered, top_funds, pledged_vs_paid,
         allocate_impact, allocate_beneficiaries, allocate_default_budget,
         allocation_totals, top_allocations, funded_lines, allocation_report, available_funding,
-        ml_ready, scaler_moments, scaled_features, flag_by_contamination,
+        ml_ready, scaler_moments, scaled_features, flag_by_contamination, flag_by_sketches,
+        stored_forest_flags,
         top_costly, worst_costly, costly_by_sector, costly_summary,
         costly_score_vs_gap, costly_radar,
         nearest_center, nearest_inertia, nearest_group_sizes, label_silhouette,

@@ -10,13 +10,14 @@ beforehand would not change them and is left out.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -218,16 +219,63 @@ def score(
     return df.withColumn(into, isolation(*[F.col(c) for c in names]))
 
 
+def score_in_engine(
+    df: DataFrame,
+    forest: DataFrame,
+    rows: int,
+    features: Iterable[str] = ML_FEATURES,
+    into: str = "raw_score",
+    sample: int = SAMPLE,
+) -> DataFrame:
+    """What ``score`` adds, by expressions alone, without a Python worker.
+
+    The forest is a constant of the plan, parsed once when the plan is optimised; its size depends on
+    the number of trees and the sample alone, as in ``score``. Every tree is walked over its node arrays
+    from the root, as many steps as a tree is high; a leaf stays where it is. Null and NaN values
+    go left, as in ``score``, and other scores are equal to the last digits.
+    """
+    names, nodes = list(features), TREE_SCHEMA.removeprefix("tree int, ")
+    grown = [row.asDict() for row in forest.orderBy("tree").drop("tree").collect()]
+    trees = F.from_json(F.lit(json.dumps(grown)), f"array<struct<{nodes}>>")
+    levels = F.sequence(F.lit(1), F.lit(height(min(sample, rows))))
+    norm = mean_path(min(sample, rows)) or 1.0
+
+    def leaf(tree: Column, values: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            feature = F.get(tree["feature"], at)
+            right = F.get(values, feature) > F.get(tree["threshold"], at)
+            return (
+                F.when(feature < 0, at)
+                .when(right, F.get(tree["right"], at))
+                .otherwise(F.get(tree["left"], at))
+            )
+
+        return F.aggregate(levels, F.lit(0), step)
+
+    def isolation(values: Column) -> Column:
+        total = F.aggregate(
+            trees, F.lit(0.0), lambda sofar, tree: sofar + F.get(tree["path"], leaf(tree, values))
+        )
+        return F.pow(F.lit(2.0), -total / F.lit(len(grown)) / F.lit(norm))
+
+    values = F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(float("-inf"))) for c in names])
+    # bound by a lambda, the values are gathered once a row and not once a step
+    return df.withColumn(into, F.get(F.transform(F.array(values), isolation), F.lit(0)))
+
+
 def flag_by_contamination(
-    df: DataFrame, column: str, contamination: float = CONTAMINATION
+    df: DataFrame,
+    column: str,
+    contamination: float = CONTAMINATION,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``anomaly_score`` (``column`` minus its threshold) and ``is_anomaly`` (above it).
 
     The threshold is the exact ``1 - contamination`` quantile of the numbers; null and NaN values are
     never flagged, and an infinite value is where it is above the threshold. Read ``df`` from storage: it is
-    scanned a few times.
+    scanned a few times, two times fewer with ``sketches`` of the column (``value_sketches``).
     """
-    return flag_above(df, column, exact_quantile(df, column, 1.0 - contamination))
+    return flag_above(df, column, exact_quantile(df, column, 1.0 - contamination, sketches=sketches))
 
 
 def flag_above(df: DataFrame, column: str, threshold: float | None) -> DataFrame:
@@ -249,8 +297,16 @@ class StoredForest:
 
 
 def apply_forest(
-    df: DataFrame, stored: StoredForest, features: Iterable[str] = ML_FEATURES, into: str = "raw_score"
+    df: DataFrame,
+    stored: StoredForest,
+    features: Iterable[str] = ML_FEATURES,
+    into: str = "raw_score",
+    in_engine: bool = False,
 ) -> DataFrame:
-    """Score ``df`` with a stored forest and flag it by the threshold of the fit."""
-    scored = score(df, stored.trees, stored.rows, features, into, stored.sample)
+    """Score ``df`` with a stored forest and flag it by the threshold of the fit.
+
+    ``in_engine`` scores by expressions alone (``score_in_engine``).
+    """
+    walk = score_in_engine if in_engine else score
+    scored = walk(df, stored.trees, stored.rows, features, into, stored.sample)
     return flag_above(scored, into, stored.threshold)

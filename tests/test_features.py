@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from fairshare.operators import aggregates, clean, features, quality
 
 REQ = "country_code string, cluster_name string, year int, appeal_id string, \
@@ -105,3 +107,22 @@ def test_quality_of_no_rows(rows):
     assert tuple(quality.duplicate_keys(empty).first()) == (0, 0, 0, "ok")
     checks = {r["check"] for r in quality.issues(empty).collect()}
     assert checks == {"low join coverage"}
+
+
+def test_donor_sketches_merge_up(spark, rows):
+    gifts = spark.range(60_000).selectExpr(
+        "concat('fund ', id % 6) country_name", "cast(2015 + id % 5 as int) year",
+        "if(id % 4 = 0, null, concat('donor ', hash(id) % 9000)) donor_name",
+    )
+    sketches = aggregates.donor_sketches(gifts)
+    assert sketches.count() == 30
+    for keys in (["country_name"], ["year"], ["country_name", "year"], []):
+        exact = {tuple(r)[:-1]: r["n"] for r in gifts.groupBy(*keys).agg(F.count_distinct("donor_name").alias("n")).collect()}
+        about = {tuple(r)[:-1]: r["num_donors"] for r in aggregates.donors_by(sketches, keys).collect()}
+        assert exact.keys() == about.keys()
+        assert all(abs(about[k] - exact[k]) <= 4 * aggregates.donor_error() * exact[k] + 1 for k in exact)
+    few = rows("country_name string, year int, donor_name string", ("a", 1, None), (None, 1, "d"), (None, 2, "d"))
+    found = aggregates.donors_by(aggregates.donor_sketches(few), ["country_name"]).collect()
+    assert sorted((r["country_name"] or "", r["num_donors"]) for r in found) == [("", 1), ("a", 0)]
+    none = aggregates.donor_sketches(few.limit(0))
+    assert none.count() == 0 and aggregates.donors_by(none).first()["num_donors"] == 0

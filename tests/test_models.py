@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairshare.operators import forest, peers, runs, scaling
-from fairshare.operators.quantile import exact_quantile
+from fairshare.operators.quantile import exact_quantile, merged_sketch, sketched_quantile, value_sketches
 from fairshare.operators.sampling import key_digest, sample_rows_by_key
 from fairshare.plans import tables
 
@@ -329,6 +329,56 @@ def test_scores_follow_the_tree_node_by_node(spark, points):
         assert row["raw_score"] == pytest.approx(wanted)
 
 
+def test_engine_scores_equal_the_others_and_start_no_python(spark, points):
+    trees = forest.fit_forest(points, 2000, COLUMNS, ["id"], trees=12, sample=64)
+    given = points.withColumns(
+        {
+            "a": F.when(F.col("id") % 5 != 0, F.col("a")),
+            "b": F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("b")),
+            "c": F.when(F.col("id") % 11 == 0, float("inf")).otherwise(F.col("c")),
+        }
+    ).unionByName(points.limit(3))
+    one = forest.score(given, trees, 2000, COLUMNS, sample=64)
+    two = forest.score_in_engine(given, trees, 2000, COLUMNS, sample=64)
+    assert "ArrowEvalPython" in one._jdf.queryExecution().toString()
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "from_json" not in plan
+    a, b = (sorted((r["id"], r["raw_score"]) for r in df.collect()) for df in (one, two))
+    assert len(a) == 2003 and [x for x, _ in a] == [x for x, _ in b]
+    assert [x for _, x in a] == pytest.approx([x for _, x in b], rel=1e-14)
+    assert forest.score_in_engine(points.limit(0), trees, 2000, COLUMNS, sample=64).count() == 0
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.95, 1.0])
+@pytest.mark.parametrize("values", ["abs(hash(id)) / 7.0", "id % 3", "if(id % 3 = 0, 5.0, cast(hash(id) as double))"])
+def test_sketches_change_the_way_and_not_the_quantile(spark, values, q):
+    df = spark.range(30_000).selectExpr("id % 11 run", "id % 4 kind", f"cast({values} as double) x")
+    sketches = value_sketches(df, "x", ["run", "kind"], size=200)
+    assert sketches.count() == 44
+    assert exact_quantile(df, "x", q, gather=50, sketches=sketches) == exact_quantile(df, "x", q)
+    coarse = merged_sketch(sketches, ["kind"]).select("kind", "rows", sketched_quantile("sketch", 0.5).alias("m"))
+    for row in coarse.collect():
+        own = df.where(F.col("kind") == row["kind"])
+        below, upto = own.where(F.col("x") < row["m"]).count(), own.where(F.col("x") <= row["m"]).count()
+        assert row["rows"] == own.count() and below <= row["rows"] * 0.55 and upto >= row["rows"] * 0.45
+
+
+def test_sketches_of_gaps_nothing_and_other_rows(spark, rows):
+    nan, inf = float("nan"), float("inf")
+    df = rows("k string, x double", ("a", None), ("a", nan), (None, 1.0), (None, 3.0), ("b", inf), ("b", 2.0))
+    sketches = value_sketches(df, "x", ["k"])
+    assert sorted((r["k"] or "", r["rows"]) for r in sketches.collect()) == [("", 2), ("b", 2)]
+    assert exact_quantile(df, "x", 0.5, sketches=sketches) == exact_quantile(df, "x", 0.5) == 2.5
+    assert exact_quantile(df, "x", 1.0, gather=1, sketches=sketches) == inf
+    empty = df.limit(0)
+    assert value_sketches(empty, "x").count() == 0
+    assert exact_quantile(empty, "x", 0.5, sketches=value_sketches(empty, "x")) is None
+    with pytest.raises(ValueError, match="not of these rows"):
+        exact_quantile(df.union(df), "x", 0.5, gather=1, sketches=sketches)
+    flags = forest.flag_by_contamination(df, "x", 0.3, sketches).select("k", "is_anomaly").collect()
+    assert sorted(flags, key=str) == sorted(forest.flag_by_contamination(df, "x", 0.3).select("k", "is_anomaly").collect(), key=str)
+
+
 def test_task_functions_need_no_package_on_the_executors(tmp_path):
     import os
     import subprocess

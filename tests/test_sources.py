@@ -8,7 +8,16 @@ from fairshare.sources import ingest as ing
 from fairshare.sources.coerce import safe_coerce
 from fairshare.sources.csv import load_csv, load_hxl, parts_by_scan, spans_lines
 from fairshare.sources.names import plain_name, punctuated_name, tag_name, unique_names
-from fairshare.sources.tables import read_tables, register_views, settle, shared_dir, write_table
+from fairshare.sources.tables import (
+    drop_old_versions,
+    drop_table,
+    read_tables,
+    register_views,
+    settle,
+    shared_dir,
+    shown_version,
+    write_table,
+)
 
 
 def put(folder, name, text, bom=False):
@@ -117,6 +126,62 @@ def test_tables(spark, rows):
     assert spark.sql("select sum(w) from x").first()[0] == 5
 
 
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_a_crash_between_any_two_steps_leaves_the_old_or_the_new_table(spark, rows, monkeypatch, step):
+    """The process dies before the statement number ``step`` of a replacement."""
+    table = f"crashed.t{step}"
+    spark.sql("create database if not exists crashed")
+    write_table(rows("x int", (1,)), table)
+    new, sql, seen = rows("x int, y string", (2, "b")), spark.sql, []
+
+    def dying(text, *rest, **named):
+        seen.append(text)
+        if len(seen) == step + 1:
+            raise Crash(text)
+        return sql(text, *rest, **named)
+
+    monkeypatch.setattr(type(spark), "sql", lambda _, *rest, **named: dying(*rest, **named))
+    try:
+        write_table(new, table)
+        crashed = False
+    except Crash:
+        crashed = True
+    monkeypatch.undo()
+    assert crashed == (step < len(seen) and len(seen) == step + 1)
+    got = [tuple(r) for r in spark.table(table).collect()]
+    assert got in ([(1,)], [(2, "b")])
+    if not crashed:
+        assert got == [(2, "b")]
+    shown = shown_version(spark, table)
+    drop_old_versions(spark, table)
+    left = [t.name for t in spark.catalog.listTables("crashed__versions") if t.name.startswith(f"t{step}__")]
+    assert [f"crashed__versions.{name}" for name in left] == [shown]
+    assert [tuple(r) for r in spark.table(table).collect()] == got
+    write_table(rows("x int", (3,)), table)
+    assert [tuple(r) for r in spark.table(table).collect()] == [(3,)]
+    drop_table(spark, table)
+    assert not spark.catalog.tableExists(table) and drop_old_versions(spark, table) == []
+
+
+def test_versions_of_plain_quoted_and_empty_tables(spark, rows):
+    spark.sql("create database if not exists plainly")
+    rows("x int", (1,)).write.saveAsTable("plainly.t")
+    assert shown_version(spark, "plainly.t") is None
+    write_table(spark.table("plainly.t").selectExpr("x + 1 x", "'k' k"), "plainly.t", partition_by=["k"])
+    assert [tuple(r) for r in spark.table("plainly.t").collect()] == [(2, "k")]
+    assert "PartitionFilters: [isnotnull" in spark.table("plainly.t").where("k = 'k'")._jdf.queryExecution().toString()
+    write_table(rows("`a b` int, `A.c` string"), "`plainly`.`t`")
+    assert spark.table("plainly.t").columns == ["a b", "A.c"] and spark.table("plainly.t").count() == 0
+    write_table(rows("x int", (1,), (1,), (None,)), "plainly.t__extra")
+    assert drop_old_versions(spark, "plainly.t") == []
+    assert spark.table("plainly.t__extra").count() == 3
+    drop_table(spark, "plainly.nothing")
+
+
 def test_settle_uses_the_shared_folder(spark, rows):
     df = settle(rows("a int", (1,), (2,)), "s")
     assert df.count() == 2
