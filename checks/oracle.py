@@ -464,6 +464,33 @@ TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+#: Columns of the given tables that hold numbers, and others that are not nested.
+NUMBERS = {
+    "region": "r_regionkey", "nation": "n_nationkey n_regionkey", "customer": "c_custkey c_nationkey c_acctbal",
+    "supplier": "s_suppkey s_nationkey s_acctbal", "part": "p_partkey p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_totalprice",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax",
+    "events": "event_id user_id value", "documents": "doc_id n_chars", "embeddings": "vec_id label",
+    "pages": "page_id", "benchmark": "item_id", "labels": "doc_id quality toxic", "conversations": "conv_id turn",
+}
+OTHERS = {
+    "region": "r_name", "nation": "n_name", "customer": "c_name c_mktsegment", "supplier": "s_name",
+    "part": "p_name p_brand p_type", "orders": "o_orderstatus o_orderdate o_orderpriority",
+    "lineitem": "l_returnflag l_linestatus l_shipdate", "events": "ts event_type props",
+    "documents": "text lang source", "pages": "url html", "benchmark": "text", "conversations": "role text",
+}
+
+
+def _table_statistics() -> str:
+    def part(table: str, column: str, ends: tuple[str, str]) -> str:
+        return f"""select '{table}' dataset, '{column}' "column", count(*)::bigint "rows",
+            count("{column}")::bigint filled, {ends[0]}::double least, {ends[1]}::double most from {table}"""
+
+    parts = [part(t, c, (f'min("{c}")', f'max("{c}")')) for t, names in NUMBERS.items() for c in names.split()]
+    parts += [part(t, c, ("null", "null")) for t, names in OTHERS.items() for c in names.split()]
+    return " union all ".join(parts)
+
+
 def _leaf(tree) -> str:
     """The path length of a row in a tree; nulls and NaN go left."""
     if isinstance(tree, float):
@@ -523,6 +550,7 @@ SQL: dict[str, str] = {
         from pragma_table_info('{t}')"""
         for t in TABLES
     ),
+    "table_statistics": _table_statistics(),
     "prep_requirements": _with("req_raw") + """
         select country_code, case when p_size % 2 = 0 then p_size::varchar end cluster_id,
           lower(p_type) cluster_name, "year", 'Appeal ' || o_orderkey appeal_name,

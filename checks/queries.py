@@ -31,6 +31,7 @@ from fairshare.operators import (
 from fairshare.plans import prep, tables
 from fairshare.sources.coerce import safe_coerce
 from fairshare.sources.ingest import Dataset, ingest, summarize
+from fairshare.sources.statistics import file_statistics
 from fairshare.sources.tables import read_tables, settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +163,10 @@ def dataset_summary(spark, sf_dir):
     return summarize(frames)
 
 
+def table_statistics(spark, sf_dir):
+    return file_statistics(spark, {name: f"{sf_dir}/{name}.parquet" for name in proxies.NAMES})
+
+
 def prep_requirements(spark, sf_dir):
     return prep.prep_requirements(proxies.requirements_text(spark, sf_dir))
 
@@ -785,7 +790,7 @@ def peer_group_sizes(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
-        coerce_orders, coerce_long_codes, ingested_orders, dataset_summary,
+        coerce_orders, coerce_long_codes, ingested_orders, dataset_summary, table_statistics,
         flag_with_gaps, nearest_center_with_gaps,
         prep_requirements, prep_needs, prep_population,
         prep_projects, prep_contributions, prep_disasters,

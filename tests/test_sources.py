@@ -8,6 +8,7 @@ from fairshare.sources import ingest as ing
 from fairshare.sources.coerce import safe_coerce
 from fairshare.sources.csv import load_csv, load_hxl, parts_by_scan, spans_lines
 from fairshare.sources.names import plain_name, punctuated_name, tag_name, unique_names
+from fairshare.sources.statistics import PUSHDOWN, file_statistics, footer_totals
 from fairshare.sources.tables import (
     drop_old_versions,
     drop_table,
@@ -360,3 +361,32 @@ def test_a_failed_overwrite_keeps_the_table(spark, rows):
     write_table(spark.table("kept.t").selectExpr("x + 1 x"), "kept.t")  # reads what it replaces
     assert [r["x"] for r in spark.table("kept.t").collect()] == [2]
     assert [t.name for t in spark.catalog.listTables("kept") if not t.isTemporary] == ["t"]
+
+
+def test_statistics_come_from_footers(spark, sf_dir):
+    before = {key: spark.conf.get(key) for key in PUSHDOWN}
+    totals = footer_totals(spark, f"{sf_dir}/lineitem.parquet")
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), COUNT(l_orderkey), MIN(l_orderkey)" in plan
+    assert totals.first()[0] == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert {key: spark.conf.get(key) for key in PUSHDOWN} == before
+
+
+def test_statistics_of_gaps_names_nothing_and_nan(spark, rows, tmp_path):
+    nan, schema = float("nan"), "`a b` int, x double, s string, v array<int>, l long"
+    frames = {
+        "gaps": rows(schema, (1, None, None, [1], 2**60), (None, -0.0, "", None, 3), (1, 2.5, "t", [], None)),
+        "empty": rows(schema),
+        "nulls": rows(schema, *[(None,) * 5] * 2),
+        "nan": rows(schema, (1, nan, "t", None, 1), (4, 2.0, "t", None, 1), (4, -1.0, "t", None, 1)),
+    }
+    for name, df in frames.items():
+        df.write.parquet(str(tmp_path / name))
+    found = file_statistics(spark, {name: str(tmp_path / name) for name in frames})
+    got = {(r["dataset"], r["column"]): tuple(r)[2:] for r in found.collect()}
+    assert len(got) == 4 * 4 and not [k for k in got if k[1] == "v"]
+    assert got["gaps", "a b"] == (3, 2, 1.0, 1.0) and got["gaps", "x"] == (3, 2, 0.0, 2.5)
+    assert got["gaps", "s"] == (3, 2, None, None) and got["gaps", "l"] == (3, 2, 3.0, float(2**60))
+    assert {got["empty", c] for c in ("a b", "x", "s", "l")} == {(0, 0, None, None)}
+    assert {got["nulls", c] for c in ("a b", "x", "s", "l")} == {(2, 0, None, None)}
+    assert got["nan", "x"] == (3, 3, -1.0, 2.0) and got["nan", "a b"] == (3, 3, 1.0, 4.0)
