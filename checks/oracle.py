@@ -313,6 +313,21 @@ def _issue_parts(rows: str, nulls, bounds, joins) -> str:
     return f'select "check", "column", round("value", 4) + 0.0 "value", expected from ({_union(parts)})'
 
 
+def _broken() -> str:
+    """Feature rows that break every rule, each twice."""
+
+    def beyond(c: str) -> str:
+        low, high = BOUNDS.get(c, (0, None))
+        value = low - 1 if high is None else f"case when num_appeals % 2 = 0 then {low - 1} else {high + 1} end"
+        return f'case when "year" % 4 = 1 then {value} end::double "{c}"'
+
+    columns = [c for c in dict.fromkeys([*NULL_COLUMNS, *BOUNDS]) if c not in NULL_COLUMNS[:3]]
+    keys = """case when "year" % 4 = 1 then country_code end country_code, null::varchar cluster_name,
+        case when "year" % 4 = 1 then "year" end "year\""""
+    once = f"select {keys}, {', '.join(beyond(c) for c in columns)} from features"
+    return f"broken as ({once} union all {once})"
+
+
 def _allocation(objective: str, budget: str, body: str) -> str:
     value = "impact_per_dollar" if objective == "impact" else "targeted"
     return f"""{_with("lines")}, ordered as (
@@ -649,6 +664,8 @@ SQL: dict[str, str] = {
     "issues_unmerged": f"{_with('req_clean')} " + _issue_parts(
         "req_clean", NULL_COLUMNS[:5],
         {c: BOUNDS[c] for c in ("total_funding_usd", "total_requirements_usd")}, {}),
+    "issues_broken": f"{_with('features')}, {_broken()} "
+    + _issue_parts("broken", NULL_COLUMNS, BOUNDS, JOINS),
     "sample_rows": _with("features") + f"""
         select {KEY}, {SAMPLE} from features where total_funding_usd > 0
         order by 1, 2 nulls first, 3 limit 10""",

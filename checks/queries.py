@@ -366,6 +366,21 @@ def issues_unmerged(spark, sf_dir):
     return rounded(quality.issues(_cleaned(spark, sf_dir)), ["value"], 4)
 
 
+def issues_broken(spark, sf_dir):
+    """The checks on rows that break every rule: twice each, mostly null, and beyond both bounds elsewhere."""
+    rows = feature_rows(spark, sf_dir)
+    told, even = F.col("year") % 4 == 1, F.col("num_appeals") % 2 == 0
+    broken = {"cluster_name": F.lit(None).cast("string")}
+    for c in ["country_code", "year"]:
+        broken[c] = F.when(told, F.col(c))
+    for c in {*quality.NULL_COLUMNS, *quality.BOUNDS} - set(features.KEY):
+        low, high = quality.BOUNDS.get(c, (0, None))
+        beyond = F.lit(low - 1.0) if high is None else F.when(even, low - 1.0).otherwise(high + 1.0)
+        broken[c] = F.when(told, beyond)
+    rows = rows.withColumns(broken)
+    return rounded(quality.issues(rows.unionByName(rows)), ["value"], 4)
+
+
 def sample_rows(spark, sf_dir):
     sample = quality.sample_rows(feature_rows(spark, sf_dir))
     return rounded(sample, quality.SAMPLE_COLUMNS[3:], 4)
@@ -801,7 +816,7 @@ QUERIES: dict[str, Query] = {
         joined_context, sector_totals, feature_table,
         null_profile, range_check, zero_check, join_coverage,
         duplicate_keys, duplicate_keys_unmerged, duplicate_groups,
-        issues, issues_unmerged, sample_rows,
+        issues, issues_unmerged, issues_broken, sample_rows,
         filter_countries, filter_clusters, filter_years, default_selection,
         filtered_features, filtered_wide_gaps, filtered_projects, filtered_anomalies,
         kpis, kpis_filtered, gap_by_country, coverage_by_cluster, yearly_trend, metric_map,
