@@ -121,4 +121,23 @@ select k.conv_id, k.d::bigint as depth, p.conv_id as parent_conv_id, k.n_convs,
 from known k join subtrees t on t.d = k.d and t.node = k.node left join known p on p.d = k.d - 1 and p.node = k.parent
 """
 
-SQL: dict[str, str] = {"op5_chat": OP5, "op6_topk": OP6, "op11_trie": OP11, "op13_filters": OP13}
+OP3 = """
+with given as (
+    select page_id, url, coalesce(html, '') as body from pages
+), printed as (
+    select page_id, url, strlen(body)::bigint as payload_bytes, sha1(body) as print from given
+), judged as (
+    select *, max(page_id) over (partition by print) as last from printed
+), named as (
+    select print, string_agg(
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(print, k // 4 * 5 + 1, 5))::int >> (15 - k % 4 * 5)) & 31) + 1, 1),
+        '' order by k
+    ) as payload_digest
+    from (select distinct print from printed), range(32) places(k) group by print
+)
+select page_id, payload_bytes, payload_digest, case when page_id <> last then 'revisit' else 'response' end as record_type,
+    case when page_id <> last then last end as refers_to, url
+from judged join named using (print)
+"""
+
+SQL: dict[str, str] = {"op3_warc": OP3, "op5_chat": OP5, "op6_topk": OP6, "op11_trie": OP11, "op13_filters": OP13}

@@ -61,12 +61,16 @@ PAGE = "urn:page:"
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as an archive and read back; revisits are read by their headers, without payloads.
+
+    A null html is an empty payload, a null url gives no target URI; repeated payloads revisit the largest id.
+    """
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("html"))
     urn = lambda c: F.concat(F.lit(PAGE), c.cast("string"))
-    records = warc.with_revisits(pages, "page_id", "html").select(
+    records = warc.with_revisits(pages, "page_id", "html", carry=("url",)).select(
         "record_type",
         urn(F.col("page_id")).alias("record_id"),
-        urn(F.col("page_id")).alias("target_uri"),
+        F.col("url").alias("target_uri"),
         F.lit("2024-01-01T00:00:00Z").alias("date"),
         urn(F.col("refers_to")).alias("refers_to"),
         F.col("html").alias("payload"),
@@ -74,14 +78,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid4().hex}"
     records.write.format("warc").mode("append").save(path)
-    read = warc.load(spark, path)
+    whole = warc.load(spark, path).where(F.col("record_type") == "response")
+    bare = warc.load(spark, path, payloads="false").where(F.col("record_type") == "revisit")
+    read = whole.withColumn("payload_bytes", F.length("payload").cast("long")).drop("payload").unionByName(bare.drop("payload"))
     page = lambda c: F.substring(c, len(PAGE) + 1, 20).cast("long")
     return read.select(
         page(F.col("record_id")).alias("page_id"),
-        F.coalesce(F.length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+        "payload_bytes",
         "payload_digest",
         "record_type",
         page(F.col("refers_to")).alias("refers_to"),
+        F.col("target_uri").alias("url"),
     )
 
 

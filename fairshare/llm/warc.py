@@ -26,6 +26,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from fairshare.sources.tables import settle
+
 READ_SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, payload_digest string, "
     "refers_to string, payload_bytes long, payload binary"
@@ -358,24 +360,54 @@ def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("warc").options(**options).load(path)
 
 
-def with_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0) -> DataFrame:
-    """(key, payload, record_type, refers_to): of equal payloads one response, the others revisit it.
+#: Bits of the map of repeated payloads: 2 MB, whatever the number of pages.
+MAP_BITS = 1 << 24
+BUCKET_BITS = 1 << 15
+
+
+def _marked(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false only if their print is none of ``prints``.
+
+    Each print sets one bit of ``MAP_BITS``; the map is built by tasks in buckets of 4 kB, and the
+    buckets, of which there are at most 512, are broadcast.
+    """
+    slot = F.pmod(F.xxhash64("print"), F.lit(MAP_BITS))
+    bucket, place = F.floor(slot / BUCKET_BITS).cast("int"), slot % BUCKET_BITS
+    bits = prints.select(bucket.alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    met = rows.withColumn("bucket", bucket).withColumn("place", place.cast("int")).join(F.broadcast(bits), "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, place div 8 + 1, 1)")), 16, 10).cast("int")
+    met = met.withColumn("byte", byte)
+    maybe = F.coalesce(F.expr("(shiftright(byte, place % 8) & 1) = 1"), F.lit(False))
+    return met.withColumn("maybe", maybe).drop("bucket", "place", "bits", "byte")
+
+
+def with_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, payload, record_type, refers_to) and ``carry``: of equal payloads one response, the others revisit it.
 
     The response is the row with the largest ``key``; rows that share that key all are responses,
     and where all keys of the group are null so are all its rows. Payloads shorter than
-    ``least_bytes`` are responses all. A null payload is empty.
+    ``least_bytes`` are responses all. A null payload is empty. ``carry`` names columns that come along.
+
+    Digests alone are grouped. A bit map of those that repeat tells most rows that do not, and these stay
+    where they are; payloads travel only of the others, to meet their group's largest key.
     """
     rows = pages.select(
-        F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{payload}`"), F.lit("").cast("binary")).alias("payload")
+        F.col(f"`{key}`").alias("key"),
+        F.coalesce(F.col(f"`{payload}`"), F.lit("").cast("binary")).alias("payload"),
+        F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(None).alias("none")]).alias("carried"),
     ).withColumn("print", F.sha1("payload"))
-    # only payloads that occur more than once need their group's largest key, one row for each group
-    large = rows.select("print", "key").groupBy("print")
-    groups = large.agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = rows.join(groups, "print", "left")
-    again = F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last")) & (F.length("payload") >= least_bytes)
-    return met.select(
+    large = rows.where(F.length("payload") >= least_bytes).select("print", "key").groupBy("print")
+    groups = large.agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").drop("n")
+    groups = settle(groups, "repeated")
+    marked = _marked(rows, groups)
+    none = F.lit(None).cast(groups.schema["last"].dataType)
+    single = marked.where("not maybe").withColumn("last", none)
+    met = marked.where("maybe").join(groups, "print", "left").select(*single.columns)
+    again = F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last"))
+    return single.unionByName(met).select(
         F.col("key").alias(key),
         F.col("payload").alias(payload),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("last")).alias("refers_to"),
+        *[F.col("carried")[c].alias(c) for c in carry],
     )

@@ -126,6 +126,24 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.load(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_only_payloads_that_may_repeat_travel(spark, monkeypatch):
+    pages = [(k, f"page {k % 700}", f"http://{k}") for k in range(1000)] + [(None, "page 3", None), (None, "lone", "u"), (None, "lone", "v")]
+    df = spark.createDataFrame(pages, "page_id long, html string, last string").withColumn("html", F.encode("html", "UTF-8"))
+    for bits in (warc.MAP_BITS, 1 << 15, 8):  # with few bits most rows travel, to the same result
+        monkeypatch.setattr(warc, "MAP_BITS", bits)
+        got = warc.with_revisits(df, "page_id", "html", carry=("last",))
+        assert got.columns == ["page_id", "html", "record_type", "refers_to", "last"] and got.count() == len(pages)
+        links = {(r["page_id"], r["refers_to"]) for r in got.where("record_type = 'revisit'").collect()}
+        assert links == {(k, k + 700) for k in range(300)} | {(None, 703)}
+        assert got.where("page_id is not null and last <> concat('http://', page_id)").count() == 0
+    long = warc.with_revisits(df, "page_id", "html", least_bytes=8)
+    assert long.where("record_type = 'revisit' and length(html) < 8").count() == 0
+    assert long.where("record_type = 'revisit'").count() == 200
+    assert warc.with_revisits(df.limit(0), "page_id", "html").count() == 0
+    rows = warc._marked(df.withColumn("print", F.sha1("html")), df.limit(0).select(F.sha1("html").alias("print")))
+    assert rows.where("maybe").count() == 0
+
+
 def test_plain_archives_are_passed_over_by_seeking():
     block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 300_000
     one = lambda kind, n: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{n}>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
