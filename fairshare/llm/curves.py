@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,11 @@ AXES = 4
 BITS = 10
 SHARES = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 6, 1 / 4, 1 / 3, 1 / 2)
 ROWS_AT_ONCE = 256
+#: Queries and candidates of a unit of work; larger windows are cut into more units.
+QUERIES = 16_384
+CANDIDATES = 131_072
+
+log = logging.getLogger(__name__)
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -52,13 +58,17 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Curves:
-    """For each curve ``AXES`` directions and a shift; low and high bounds; the window's share."""
+    """For each curve ``AXES`` directions and a shift; low and high bounds; the window's share.
+
+    ``recall`` is what windows of that share find of the sample's own neighbours.
+    """
 
     axes: np.ndarray
     shift: np.ndarray
     low: np.ndarray
     high: np.ndarray
     share: float
+    recall: float = 1.0
 
     def places(self, x: np.ndarray, curve: int) -> np.ndarray:
         z = (x @ self.axes[curve].T - self.low[curve]) / (self.high[curve] - self.low[curve])
@@ -85,9 +95,12 @@ def fit(sample: np.ndarray, curves: int, k: int, recall: float, seed: int) -> Cu
     at = np.stack([np.argsort(np.argsort(made.places(sample, c), kind="stable")) for c in range(curves)])
     off = np.abs(at[:, asked, None] - at[:, near]).min(axis=0) if near.size else np.zeros((len(asked), 1))
     for share in SHARES:
-        if (off <= share * n / 2).mean() >= recall:
+        found = float((off <= share * n / 2).mean())
+        if found >= recall:
             break
-    return Curves(axes, shift, low, high, share)
+    else:
+        log.warning("windows of half of all vectors find %.3f of the sample's neighbours, below %.3f", found, recall)
+    return Curves(axes, shift, low, high, share, found)
 
 
 def feed(best: Best, x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
@@ -128,8 +141,12 @@ def nearest(
     range-partitioned, and a place in it is exact. A window of the order is compared with the queries
     in its middle third; windows overlap so that a query sees at least ``share / 2`` of all vectors on
     either side. ``share`` is fitted, with the bounds of the grid, on at most ``sample`` vectors
-    chosen by hash: the least that finds ``recall`` of the sample's own neighbours. Where the vectors
-    have structure it is small; on noise of many dimensions no order helps much and it is large.
+    chosen by hash: the least that finds ``recall`` of the sample's own neighbours; if none up to a half does,
+    a half is taken and a warning logged. Where the vectors have structure the share is small; on
+    noise of many dimensions no order helps much and it is large.
+
+    A window's queries are cut into blocks of about ``QUERIES``, counted in the fullest cell, and its candidates
+    into shares of about ``CANDIDATES``, each pair of them a unit of work, so that tasks do not grow with the table.
     """
     rows = packed(df, key, vector, zero=False)
     first = Window.partitionBy("v").orderBy("id")
@@ -169,13 +186,21 @@ def nearest(
     grid = max(k + 1, int(np.ceil(made.share * total / 2)))
     cells = -(-total // grid)
     ranked = ranked.withColumn("cell", F.floor(at / grid).cast("long"))
-    shape = ["side", F.col("node").alias("row"), "id", "v"]
-    left = ranked.where("asked").withColumn("side", F.lit(0)).select((F.col("curve") * cells + F.col("cell")).alias("unit"), *shape)
+    blocks = 1
+    if grid > QUERIES:  # else no cell holds more
+        fullest = ranked.where("asked").groupBy("curve", "cell").count().agg(F.max("count")).first()[0] or 0
+        blocks = max(1, -(-fullest // QUERIES))
+    shares = -(-min(3 * grid, total) // CANDIDATES)
+    block, share = F.pmod(F.xxhash64("node"), F.lit(blocks)), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shares))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     around = F.explode(F.sequence(F.greatest(F.col("cell") - 1, F.lit(0)), F.least(F.col("cell") + 1, F.lit(cells - 1))))
-    right = ranked.withColumn("side", F.lit(1)).withColumn("near", around)
-    right = right.select((F.col("curve") * cells + F.col("near")).alias("unit"), *shape)
+    left = ranked.where("asked").withColumn("block", block).withColumn("share", every(shares)).withColumn("near", F.col("cell"))
+    right = ranked.withColumn("near", around).withColumn("share", share).withColumn("block", every(blocks))
+    unit = ((F.col("curve") * cells + F.col("near")) * blocks + F.col("block")) * shares + F.col("share")
+    shape = [unit.alias("unit"), "side", F.col("node").alias("row"), "id", "v"]
+    left, right = (x.withColumn("side", F.lit(n)).select(*shape) for n, x in enumerate((left, right)))
     found = search(left.unionByName(right), feed, k + 1, "double")
-    # what several curves have found counts once
+    # what several curves and shares have found counts once
     found = found.groupBy("query", "row", "id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)

@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 from fairshare.llm.vectors import Best, packed, search
 
 SEGMENTS = (1, 4, 16)
-QUERIES = 2_048
+#: Queries and candidates of a unit of work; a table of any size only makes more units.
+QUERIES = 16_384
+CANDIDATES = 131_072
 UNITS = 24
 ROWS_AT_ONCE = 256
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -106,14 +108,15 @@ def largest_products(
     hold null or non-finite components take no part. Scores are exact; one among the ``k`` largest
     that does not lie within the ends of a long raises an error, as does a component too large to scale.
 
-    Queries form blocks; each block and share of the rows is a unit of work, and the bests of
-    the shares are ranked at the end. Every row meets every block, which an exact search needs when
-    bounds fail; nothing is broadcast.
+    Queries form blocks and rows form shares, of about ``QUERIES`` and ``CANDIDATES`` by a hash of unique
+    row numbers; each block and share is a unit of work, and the bests of the shares are ranked at the
+    end. A task's work and memory do not grow with the table. Every row meets every block, which an exact
+    search needs when bounds fail; nothing is broadcast.
     """
     rows = packed(df, key, vector, scaled)
     asked = rows.where(queries)
     blocks = max(1, -(-asked.count() // QUERIES))
-    shares = -(-UNITS // blocks)
+    shares = max(-(-UNITS // blocks), -(-rows.count() // CANDIDATES))
     block, share = F.pmod(F.xxhash64("row"), F.lit(blocks)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shares))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = asked.withColumn("block", block).withColumn("share", every(shares)).withColumn("side", F.lit(0))

@@ -196,6 +196,7 @@ def vectors(spark, n, d, seed=0, copies=0):
 
 def test_largest_products_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 16)
+    monkeypatch.setattr(topk, "CANDIDATES", 50)
     rows, df = vectors(spark, 500, 19, copies=40)
     rows += [(3, rows[9][1], "x"), (3, rows[3][1], "x")]
     df = df.unionByName(spark.createDataFrame(rows[-2:], df.schema))
@@ -256,6 +257,33 @@ def test_nearest_are_found(spark):
     assert curves.nearest(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def noise(n, d):
+    x = np.random.default_rng(11).normal(size=(n, d))
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
+
+
+def test_recall_on_noise_of_many_dimensions(spark, monkeypatch):
+    x = noise(2000, 64)
+    df = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for limits in ((1 << 14, 1 << 17), (20, 300)):  # windows cut into blocks and shares find the same
+        monkeypatch.setattr(curves, "QUERIES", limits[0])
+        monkeypatch.setattr(curves, "CANDIDATES", limits[1])
+        got = curves.nearest(df, F.col("id") % 20 == 0).collect()
+        found[limits] = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got)
+    whole, cut = found.values()
+    assert whole == cut
+    best = np.argsort(-np.where(np.eye(2000, dtype=bool)[::20], -np.inf, x[::20] @ x.T), axis=1)[:, :20]
+    wanted = {(20 * q, v) for q, row in enumerate(best.tolist()) for v in row}
+    assert len({(q, v) for q, _, v in whole} & wanted) / len(wanted) >= 0.9
+
+
+def test_a_recall_out_of_reach_is_told(caplog):
+    made = curves.fit(noise(600, 64), 1, 20, 0.999, 5)
+    assert made.share == 0.5 and made.recall < 0.999 and "below 0.999" in caplog.text
+    assert curves.fit(noise(600, 2), 6, 20, 0.9, 5).recall >= 0.9
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
