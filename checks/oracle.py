@@ -402,6 +402,23 @@ def _benchmark() -> str:
       select {KEY}, cluster_id, {gaps} from grouped"""
 
 
+def _refit(rows: str, steps: int = 5) -> str:
+    """Groups that start at the means of the sectors and move ``steps`` times; ``rows`` reads what comes of it."""
+    far = " + ".join(f"(s.{c} - m.{c}) ** 2" for c in ML_FEATURES)
+    means = ", ".join(f"avg({c}) {c}" for c in ML_FEATURES)
+    moved = ", ".join(f"coalesce(avg(s.{c}), any_value(m.{c})) {c}" for c in ML_FEATURES)
+    parts = [_with("scaled"), f"""c0 as materialized (
+        select (row_number() over (order by cluster_name) - 1)::int id, {", ".join(ML_FEATURES)}
+        from (select cluster_name, {means} from scaled group by 1))"""]
+    for k in range(steps + 1):
+        parts.append(f"""g{k} as materialized (
+          select s.*, (select arg_min(m.id, {far}) from c{k} m) cluster_id from scaled s)""")
+        if k < steps:
+            parts.append(f"""c{k + 1} as materialized (
+              select m.id, {moved} from c{k} m left join g{k} s on s.cluster_id = m.id group by m.id)""")
+    return ", ".join(parts) + rows.format(centers=f"c{steps}", groups=f"g{steps}")
+
+
 def _draws() -> str:
     """Draws of all rows for all trees, by the digest of their keys."""
     part = "case when {c} is null then 'null' else length({c}::varchar) || ':' || {c}::varchar end"
@@ -548,6 +565,13 @@ SQL: dict[str, str] = {
           o_totalprice::decimal(18,2)::double "Price",
           case when o_orderkey % 5 <> 0 then 'a "quoted", part' || chr(10) || o_custkey end "Note",
           'given' origin from orders""",
+    "ingested_tagged": """
+        with s as (
+          select s_nationkey, count(*) suppliers, round(sum(s_acctbal::decimal(18,2)), 2)::double + 0.0 balance,
+            min(s_name) first_name from supplier group by 1)
+        select c_custkey cust_id, c_name org_name, '#' || c_mktsegment org_name_1, lpad(c_nationkey::varchar, 3, '0') adm1_code,
+          c_acctbal::decimal(18,2)::double value__usd, suppliers, balance, first_name
+        from customer left join s on s_nationkey = c_nationkey""",
     "flag_with_gaps": """
         with v as (select l_orderkey, l_linenumber, case when l_orderkey % 7 = 0 then null
             when l_orderkey % 7 = 1 then 'nan'::double when l_orderkey % 7 = 2 then 'inf'::double
@@ -811,4 +835,12 @@ SQL: dict[str, str] = {
         order by md5('42|' || length(vec_id::varchar) || ':' || vec_id::varchar), vec_id limit 5000""",
     ),
     "peer_benchmark": _benchmark(),
+    "refit_centers": _refit(" select id cluster_id, " + r(6, *ML_FEATURES) + " from {centers}"),
+    "refit_groups": _refit(f" select {KEY}, cluster_id from {{groups}}"),
+    "top_costly_grouped": _refit(f""" select {KEY},
+        {r(4, "total_requirements_usd", "total_funding_usd", "c.funding_gap_pct", "anomaly_score").replace("0.0 c.", "0.0 ")},
+        cluster_id from costly c join (select {KEY}, cluster_id from {{groups}}) using ({KEY})
+        where is_anomaly = 1 order by c.anomaly_score desc, {KEY} limit 20"""),
+    "costly_by_group": _refit(f""" select cluster_id, is_anomaly, count(*)::bigint "count"
+        from costly join (select {KEY}, cluster_id from {{groups}}) using ({KEY}) group by all"""),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from uuid import uuid4
 
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,13 @@ from fairshare.plans import prep, tables
 from fairshare.sources.coerce import safe_coerce
 from fairshare.sources.ingest import Dataset, ingest, summarize
 from fairshare.sources.statistics import file_statistics
-from fairshare.sources.tables import read_tables, settle, shared_dir
+from fairshare.sources.names import punctuated_name
+from fairshare.sources.tables import read_tables, register_views, settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BUDGET_SHARE = 0.4
+REFIT_STEPS = 5
 UNKNOWN_LABELS = ["no such sector", "", "wash-total"]
 CANONICAL = {
     "automobile": "logistics",
@@ -149,6 +152,50 @@ def ingested_orders(spark, sf_dir):
     return found["raw_orders"]
 
 
+def ingested_tagged(spark, sf_dir):
+    """Customers as tagged files and suppliers under punctuated labels, taken in and joined through views.
+
+    Tags and labels repeat once cleaned, so names get suffixes; each file has its tag line.
+    """
+    customer = proxies.table(spark, sf_dir, "customer")
+    cells = customer.select(
+        F.col("c_custkey").cast("string").alias("Number"),
+        F.col("c_name").alias("Name"),
+        F.concat(F.lit("#"), "c_mktsegment").alias("Segment, as told"),
+        F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("Nation"),
+        F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("Balance"),
+    )
+
+    tags = dict(zip(cells.columns, ["#cust+id", "#org+name", "#org+name", "#adm1+code", "#value +usd"]))
+
+    def tagged(batches):
+        yield pd.DataFrame([tags])
+        yield from batches
+
+    supplier = proxies.table(spark, sf_dir, "supplier")
+    labelled = supplier.select(
+        F.col("s_suppkey").cast("string").alias("Supplier No."),
+        F.lpad(F.col("s_nationkey").cast("string"), 3, "0").alias("Nation/Adm1 ('code')"),
+        F.col("s_acctbal").cast("decimal(18,2)").cast("string").alias("Balance ($)"),
+        F.col("s_name").alias("Balance $"),
+    )
+    name = f"given_{uuid4().hex[:8]}"
+    paths = [f"{shared_dir(spark).rstrip('/')}/{name}-{part}" for part in ("tagged", "plain")]
+    cells.mapInPandas(tagged, cells.schema).write.csv(paths[0], header=True)
+    labelled.write.csv(paths[1], header=True, escape='"')
+    given = {"tagged": Dataset(paths[0], hxl=True), "plain": Dataset(paths[1], clean=punctuated_name)}
+    for row in ingest(spark, given, name).collect():
+        if row["error"]:
+            raise RuntimeError(row["error"])
+    found, _ = read_tables(spark, ["raw_tagged", "raw_plain"], name)
+    register_views({f"{name}_{k}": df for k, df in found.items()})
+    return spark.sql(f"""
+        select c.cust_id, c.org_name, c.org_name_1, c.adm1_code, c.value__usd, s.suppliers, s.balance, s.first_name
+        from {name}_raw_tagged c left join (
+          select Nation_Adm1_code, count(Supplier_No) suppliers, round(sum(Balance_), 2) + 0.0 balance, min(Balance__1) first_name
+          from {name}_raw_plain group by 1) s on s.Nation_Adm1_code = cast(c.adm1_code as bigint)""")
+
+
 def flag_with_gaps(spark, sf_dir):
     """Half of the prices flagged, among nulls, NaN and infinity."""
     kind = F.col("l_orderkey") % 7
@@ -712,6 +759,44 @@ def peer_benchmark(spark, sf_dir):
     return rounded(against, gaps, 5)
 
 
+def _refit(spark, sf_dir):
+    """Rows flagged by cost with scaled features, and groups that start at the means of the sectors."""
+    flagged = costly_rows(spark, sf_dir)
+    scaled = scaling.fit_scaler(flagged).transform(flagged, "scaled_")
+    names = [f"scaled_{c}" for c in scaling.ML_FEATURES]
+    scaled = settle(scaled, "scaled")
+    means = scaled.groupBy("cluster_name").agg(*[F.avg(c).alias(c) for c in names])
+    centers = [r[1:] for r in few(means.orderBy("cluster_name"))]
+    return scaled, peers.refit_peers(scaled, centers, names, max_steps=REFIT_STEPS, tolerance=0.0)
+
+
+def refit_centers(spark, sf_dir):
+    """Centres of the groups after the steps from the sectors' means."""
+    _, model = _refit(spark, sf_dir)
+    rows = [(i, *map(float, center)) for i, center in enumerate(model.centers)]
+    schema = "cluster_id int, " + ", ".join(f"{c} double" for c in scaling.ML_FEATURES)
+    return rounded(spark.createDataFrame(rows, schema), scaling.ML_FEATURES, 6)
+
+
+def refit_groups(spark, sf_dir):
+    scaled, model = _refit(spark, sf_dir)
+    return peers.label_rows(scaled, model).select(*features.KEY, "cluster_id")
+
+
+def top_costly_grouped(spark, sf_dir):
+    """The flagged rows of the highest score with the group that each is in."""
+    scaled, model = _refit(spark, sf_dir)
+    top = serving.top_anomalies(peers.label_rows(scaled, model))
+    values = ["total_requirements_usd", "total_funding_usd", "funding_gap_pct", "anomaly_score"]
+    return rounded(top, values, 4)
+
+
+def costly_by_group(spark, sf_dir):
+    """Rows by group and flag."""
+    scaled, model = _refit(spark, sf_dir)
+    return peers.group_sizes(peers.label_rows(scaled, model), "cluster_id", "is_anomaly")
+
+
 def isolation_forest(spark, sf_dir):
     """The fitted trees by size: one row per tree."""
     ready = scaling.ml_ready(feature_rows(spark, sf_dir))
@@ -784,6 +869,26 @@ def _peer_fit(spark, sf_dir):
 _fits: dict[tuple[str, str], tuple] = {}
 
 
+def grouped_rows(spark, sf_dir):
+    """The anomalies table as it is published: scores, flags and groups."""
+    rows = feature_rows(spark, sf_dir)
+    return stored(spark, sf_dir, "grouped", lambda: tables.model(rows).anomalies)
+
+
+def grouped_anomalies(spark, sf_dir):
+    return grouped_rows(spark, sf_dir)
+
+
+def top_grouped_anomalies(spark, sf_dir):
+    """The table of flagged allocations, with groups."""
+    return serving.top_anomalies(grouped_rows(spark, sf_dir))
+
+
+def anomalies_by_group(spark, sf_dir):
+    """Rows by group and flag."""
+    return peers.group_sizes(grouped_rows(spark, sf_dir), "cluster_id", "is_anomaly")
+
+
 def peer_sweep(spark, sf_dir):
     """Inertia and silhouette of the best fit for every k, and which k is taken."""
     _, _, found = _peer_fit(spark, sf_dir)
@@ -805,7 +910,7 @@ def peer_group_sizes(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
-        coerce_orders, coerce_long_codes, ingested_orders, dataset_summary, table_statistics,
+        coerce_orders, coerce_long_codes, ingested_orders, ingested_tagged, dataset_summary, table_statistics,
         flag_with_gaps, nearest_center_with_gaps,
         prep_requirements, prep_needs, prep_population,
         prep_projects, prep_contributions, prep_disasters,
@@ -830,9 +935,11 @@ QUERIES: dict[str, Query] = {
         costly_score_vs_gap, costly_radar,
         nearest_center, nearest_inertia, nearest_group_sizes, label_silhouette,
         label_silhouette_sample, peer_benchmark,
+        refit_centers, refit_groups, top_costly_grouped, costly_by_group,
         isolation_forest, forest_draws, forest_trees, anomalies, top_anomalies,
         top_anomalies_report, worst_anomaly,
         anomaly_summary, anomalies_by_sector, score_vs_gap, radar,
         peer_sweep, peer_groups, peer_group_sizes,
+        grouped_anomalies, top_grouped_anomalies, anomalies_by_group,
     ]
 }

@@ -266,6 +266,36 @@ def fit_peers(
     return best
 
 
+def refit_peers(
+    scaled: DataFrame,
+    centers: np.ndarray,
+    columns: Iterable[str] = ML_FEATURES,
+    max_steps: int = MAX_STEPS,
+    tolerance: float = TOLERANCE,
+) -> PeerModel:
+    """The groups of given centres after more or other rows: centre ``i`` stays ``i`` as it moves.
+
+    Steps run over all rows, one scan each, until centres move by no more than ``tolerance`` or
+    ``max_steps`` are done. A centre without rows stays where it is. Rows with a null or NaN feature
+    take no part; without rows the centres come back as they are. Ties go to the first centre.
+    """
+    names, points = list(columns), np.array(centers, np.float64)
+    vectors = scaled.select(*names).na.drop().persist()
+    steps, shift = 0, np.inf
+    try:
+        while shift > tolerance and steps < max_steps:
+            found = _step(vectors, names, {0: points}).get(0)
+            if found is None:
+                return PeerModel(names, points, 0.0, steps)
+            points, shift = _moved(found, points)
+            steps += 1
+        last = _step(vectors, names, {0: points}).get(0)
+    finally:
+        vectors.unpersist()
+    cost = 0.0 if last is None else float(last[:, 1].sum())
+    return PeerModel(names, points, cost, steps, bool(shift <= tolerance))
+
+
 def nearest_center(
     df: DataFrame,
     columns: Iterable[str] | str,

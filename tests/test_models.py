@@ -443,3 +443,19 @@ def test_peer_benchmark_query_labels_once(spark, sf_dir):
 def test_key_digests_tell_keys_apart(rows):
     df = rows("a string, b string", ("a|b", "c"), ("a", "b|c"), (None, "c"), ("null", "c"), ("", "c"))
     assert df.select(key_digest(["a", "b"], 1).alias("d")).distinct().count() == 5
+
+
+def test_refit_moves_given_centers(spark):
+    rows = [(float(x), float(y)) for x, y in ((0, 0), (0, 2), (10, 0), (10, 2), (10, 2))]
+    odd = [(None, 1.0), (float("nan"), 1.0)]
+    df = spark.createDataFrame(rows + odd, "a double, b double")
+    model = peers.refit_peers(df, [[9.0, 9.0], [1.0, 1.0], [-900.0, 0.0]], ["a", "b"])
+    # in their places, the centre without rows too
+    assert np.allclose(model.centers, [[10, 4 / 3], [0, 1], [-900, 0]]) and model.converged
+    assert abs(model.inertia - (2 + 8 / 3)) < 1e-9
+    once = peers.refit_peers(df, [[0.0, 0.0], [1.0, 0.0]], ["a", "b"], max_steps=1)
+    assert once.steps == 1 and not once.converged
+    tied = peers.refit_peers(df.limit(1), [[0.0, 1.0], [0.0, -1.0]], ["a", "b"])
+    assert tied.centers.tolist() == [[0.0, 0.0], [0.0, -1.0]]
+    none = peers.refit_peers(df.limit(0), [[1.0, 2.0]], ["a", "b"])
+    assert none.centers.tolist() == [[1.0, 2.0]] and none.inertia == 0 and none.converged

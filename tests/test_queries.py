@@ -10,6 +10,7 @@ NO_SQL = {
     "isolation_forest", "anomalies", "top_anomalies", "top_anomalies_report", "worst_anomaly",
     "anomaly_summary", "anomalies_by_sector", "score_vs_gap", "radar",
     "peer_sweep", "peer_groups", "peer_group_sizes",
+    "grouped_anomalies", "top_grouped_anomalies", "anomalies_by_group",
 }
 
 
