@@ -19,8 +19,11 @@ from pyspark.sql import types as T
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
+# Fixed value: what an unknown piece reads back as unless the model says otherwise.
+UNKNOWN_TEXT = " \u2047 "
 REMEMBERED = 500_000
 ROWS_AT_ONCE = 256
+CELLS_AT_ONCE = 4_096
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -47,11 +50,101 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def mapped_texts(packed: bytes) -> dict[str, str]:
+    """The texts that a packed normaliser map replaces, and by what.
+
+    The map is a count of bytes, a double array of that size that spells the sources in UTF-8, and
+    the replacements, each ended by a zero. A cell of the array holds in its low byte (and highest bit)
+    the byte that leads to it, whether an end hangs off it, and the way to its children; an end holds
+    the replacement's place.
+    """
+    if not packed:
+        return {}
+    (size,) = struct.unpack_from("<I", packed)
+    cells, texts = np.frombuffer(packed, "<u4", size // 4, 4).astype(np.int64), packed[4 + size :]
+    children = (cells >> 10) << ((cells >> 6) & 8)
+    byte = np.arange(1, 256)
+    found, open_, spelt = {}, children[:1], [b""]
+    while len(open_):  # one length of sources after the other
+        parents, below, longer = [], [], []
+        for k in range(0, len(open_), CELLS_AT_ONCE):
+            to = open_[k : k + CELLS_AT_ONCE, None] ^ byte
+            there = (to < len(cells)) & (cells[np.minimum(to, len(cells) - 1)] & 0x800000FF == byte)
+            at, last = np.nonzero(there)
+            parents.append(at + k)
+            longer.append(last + 1)
+            below.append(to[at, last])
+        parents, longer, below = map(np.concatenate, (parents, longer, below))
+        spelt = [spelt[p] + bytes([c]) for p, c in zip(parents.tolist(), longer.tolist())]
+        open_ = below ^ children[below]
+        for k in np.flatnonzero(cells[below] >> 8 & 1).tolist():
+            start = int(cells[open_[k]]) & 0x7FFFFFFF
+            found[spelt[k].decode()] = texts[start : texts.index(0, start)].decode()
+    return found
+
+
+class Normaliser:
+    """What a model makes of a text before pieces are sought.
+
+    A transducer whose states are the beginnings of sources: from left to right the longest source
+    that stands at a place is replaced, any other character is copied. Behind it, if the model says so,
+    a second one of two states drops spaces at the ends and after spaces. At last a space mark may be
+    put in front, and every space is written as the mark.
+    """
+
+    def __init__(self, rules: dict[str, str], squeeze: bool, prefix: bool):
+        self.rules, self.squeeze, self.prefix = rules, squeeze, prefix
+        self.longest: dict[str, int] = {}
+        for source in rules:
+            self.longest[source[0]] = max(self.longest.get(source[0], 0), len(source))
+        # a place where a source may stand: one of a character, or its first two characters
+        alone = "".join(map(re.escape, sorted(s for s in rules if len(s) == 1)))
+        firsts = "".join(map(re.escape, sorted({s[0] for s in rules if len(s) > 1})))
+        seconds = "".join(map(re.escape, sorted({s[1] for s in rules if len(s) > 1})))
+        starts = [f"[{alone}]"] * bool(alone) + [f"[{firsts}](?=[{seconds}])"] * bool(firsts)
+        self.starts = re.compile("|".join(starts)) if starts else None
+
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """(output, copied): replacements, and what stands between them."""
+        at = done = 0
+        while self.starts and (found := self.starts.search(text, at)):
+            at = found.start()
+            for n in range(min(self.longest[text[at]], len(text) - at), 0, -1):
+                new = self.rules.get(text[at : at + n])
+                if new is not None:
+                    if done < at:
+                        yield text[done:at], True
+                    yield new, False
+                    at = done = at + n
+                    break
+            else:
+                at += 1
+        if done < len(text):
+            yield text[done:], True
+
+    def __call__(self, text: str) -> str:
+        if not self.squeeze:
+            if self.rules:
+                text = "".join(part for part, _ in self._parts(text))
+            return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        out, after_space = [], True
+        for part, copied in self._parts(text):
+            if after_space:
+                part = part.lstrip(" ")
+            if copied:
+                part = re.sub("  +", " ", part)
+            if part:
+                out.append(part)
+                after_space = part[-1] == " "
+        if not out:
+            return ""
+        return ((SPACE if self.prefix else "") + "".join(out).replace(" ", SPACE)).rstrip(SPACE)
+
+
 class Transducer:
     """The model's normaliser, pieces and byte fallback, ready to be composed with texts.
 
-    The normaliser is one state: at the start it may put a space mark in front, and a space is
-    written as the mark. From each place of a normalised text, arcs lead over the pieces that stand
+    The normaliser (``Normaliser``) comes first and has one output for a text. From each place of a normalised text, arcs lead over the pieces that stand
     there, and over a character that is no piece by way of its bytes. In a unigram model
     an arc weighs its piece's negative score. In a BPE model what counts is in which order pairs merge,
     and a sequence of pieces is the one that merging gives just if each two neighbours, merged by
@@ -61,7 +154,7 @@ class Transducer:
 
     def __init__(self, model: bytes):
         self.pieces, self.kind, self.ids, self.scores = [], [], {}, {}
-        self.prefix, trainer, normaliser = True, {}, {}
+        trainer, normaliser = {}, {}
         for number, value in _fields(model):
             if number == 1:
                 piece = dict(_fields(value))
@@ -75,14 +168,21 @@ class Transducer:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normaliser = dict(_fields(value))
-        self.bpe = {UNIGRAM: False, BPE: True}[trainer.get(3, UNIGRAM)]
-        self.prefix = bool(normaliser.get(3, 1))
-        if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1) or {USER, UNUSED} & set(self.kind):
-            raise ValueError("only models that change nothing but spaces, without special pieces, are supported")
+        self.bpe = {UNIGRAM: False, BPE: True}.get(trainer.get(3, UNIGRAM))
+        if self.bpe is None or USER in self.kind or (self.bpe and UNUSED in self.kind):
+            raise ValueError("only unigram and BPE models without user-defined or, in BPE, unused pieces are supported")
+        if not normaliser.get(5, 1) or trainer.get(24):
+            raise ValueError("only models that mark spaces, and in front of words, are supported")
+        self.prefix, self.squeeze = bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1))
+        self.normalise = Normaliser(mapped_texts(normaliser.get(2, b"")), self.squeeze, self.prefix)
+        scores = [self.scores[p] for p, k in zip(self.pieces, self.kind) if k == NORMAL]
+        # an unknown character weighs ten more than the heaviest piece
+        self.unlikely = 10.0 - min(scores, default=0.0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kind)) if k == BYTE}
         self.byte_numbers = frozenset(self.bytes.values())
         self.unknown = self.kind.index(UNKNOWN)
         self.text = [p.replace(SPACE, " ") if k != CONTROL else "" for p, k in zip(self.pieces, self.kind)]
+        self.text[self.unknown] = trainer.get(44, UNKNOWN_TEXT.encode()).decode()
         self.characters = {p for p in self.ids if len(p) == 1}
         # where no piece has a mark after another character, a text falls apart before such marks
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -164,7 +264,7 @@ class Transducer:
         return found
 
     def _lightest(self, part: str) -> list[int]:
-        """The path of least weight, place by place; an unknown character weighs most."""
+        """The path of least weight, place by place, by the longer piece of equals."""
         n = len(part)
         weight, last = [0.0] + [math.inf] * n, [(0, 0)] * (n + 1)
         arcs: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
@@ -174,7 +274,7 @@ class Transducer:
             if c not in self.characters:
                 arcs[end].append((end - 1, len(self.pieces) + ord(c)))
             for start, number in arcs[end]:
-                own = -self.scores[self.pieces[number]] if number < len(self.pieces) else 1e6
+                own = -self.scores[self.pieces[number]] if number < len(self.pieces) else self.unlikely
                 if weight[start] + own < weight[end]:
                     weight[end], last[end] = weight[start] + own, (start, number)
         out, at = [], n
@@ -229,10 +329,13 @@ class Transducer:
         return out
 
     def encode(self, text: str) -> list[int]:
-        """Piece numbers of the whole text; an empty text has none."""
+        """Piece numbers of the whole text; an empty text has none.
+
+        Without byte fallback, neighbouring unknown characters are one unknown piece.
+        """
         if not text:
             return []
-        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        marked = self.normalise(text)
         known, neighbours, out = self.known, self.neighbours, []
         for part in self.parts.findall(marked):
             found = known.get(part)
@@ -252,13 +355,27 @@ class Transducer:
                 if cuts and len(known) < REMEMBERED and len(part) <= 64:
                     known[part] = found
             out += found
+        if not self.bytes:
+            out = [i for k, i in enumerate(out) if i != self.unknown or not k or out[k - 1] != i]
         return out
 
+    def _bare(self, text: str, ids: list[int]) -> str:
+        """Without the mark in front that the normaliser has put, or without all that it would have dropped."""
+        if text[:1] != " " or not (self.prefix or self.squeeze):
+            return text
+        spaces = 0  # those of pieces, not of what stands for an unknown one
+        for i in ids:
+            own = len(self.text[i]) - len(self.text[i].lstrip(" ")) if i != self.unknown else 0
+            spaces += own
+            if i == self.unknown or own < len(self.text[i]):
+                break
+        return text[spaces if self.squeeze else min(spaces, 1) :]
+
     def decode(self, ids: list[int]) -> str:
         """The text of piece numbers; bytes that are no UTF-8 become replacement characters."""
         if self.byte_numbers.isdisjoint(ids):
             text = "".join(map(self.text.__getitem__, ids))
-            return text[1:] if self.prefix and text[:1] == " " else text
+            return self._bare(text, ids)
         kind, out, raw = self.kind, [], bytearray()
         for i in ids:
             if kind[i] == BYTE:
@@ -269,7 +386,7 @@ class Transducer:
                 raw.clear()
             out.append(self.text[i])
         text = "".join(out) + raw.decode(errors="replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return self._bare(text, ids)
 
 
 def encode(docs: DataFrame, model: bytes | str | Path = TOKENIZER, text: str = "text", into: str = "ids") -> DataFrame:

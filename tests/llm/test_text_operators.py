@@ -1,6 +1,8 @@
 """SimHash, license scan, personal data, toxicity and SentencePiece against plain Python."""
 
+import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -201,8 +203,6 @@ def transducer():
 
 
 def test_pieces_match_the_library(transducer):
-    import random
-
     library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.TOKENIZER)
     chars, draw = list("aeiothnsr thlan  ▁é日本語ﬁ\t\n<0x>.,1234Ａ\x00😀"), random.Random(2)
     texts = ["".join(draw.choice(chars) for _ in range(draw.randint(0, 60))) for _ in range(1500)]
@@ -214,6 +214,64 @@ def test_pieces_match_the_library(transducer):
         assert transducer.decode(ids) == text.replace("▁", " ")
 
 
+def message(number, value):
+    """A field of a protocol buffer message."""
+
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def small_model(rule, fallback, squeeze=True, prefix=True):
+    """A unigram model of given pieces behind the library's normaliser of that name."""
+    library = pytest.importorskip("sentencepiece")
+    words = "a b c d ▁ ▁a ▁b ab abc bc cd ▁ab d▁ é fi 1 12 ア ▁ア aa aaa … ... ▁the th he e t h i n in ing".split()
+    draw = random.Random(5)  # no two paths weigh the same
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3)] + [(w, draw.uniform(-6, -1), 1) for w in words]
+    pieces_ += [("xyz", -40.0, 1), ("zq", -2.0, 5)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if fallback]
+    normaliser = message(3, int(prefix)) + message(4, int(squeeze)) + message(5, 1)
+    if rule:
+        spec = dict(pieces._fields(library.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]
+        normaliser += message(2, dict(pieces._fields(spec))[2])
+    data = b"".join(message(1, message(1, w) + message(2, s) + message(3, k)) for w, s, k in pieces_)
+    return data + message(2, message(3, 1) + message(35, int(fallback))) + message(3, normaliser)
+
+
+@pytest.mark.parametrize("rule", [None, "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_normalisers_and_unigrams_match_the_library(rule, squeeze, fallback):
+    library = pytest.importorskip("sentencepiece")
+    for prefix in (True, False):
+        model = small_model(rule, fallback, squeeze, prefix)
+        theirs, ours = library.SentencePieceProcessor(model_proto=model), pieces.Transducer(model)
+        draw = random.Random(3)
+        chars = list("aaabbbccdeethin  ▁éxyzq12") + ["\t", "\u3000", "ﬁ", "Ａ", "Ⅷ", "e\u0301", "ｶﾞ", "ア", "…", "\u200b", "\u00ad", "ß", "İ", "각", "\u1100\u1161", "\u0301", "😀", "\u2047", "\u00a0"]
+        texts = ["".join(draw.choice(chars) for _ in range(draw.randint(0, 40))) for _ in range(600)]
+        texts += ["", " ", "   ", "\u3000 \t", " a", "a ", "▁", "a" * 3000, "a  b" * 200, "\u00a8"]
+        for text in texts:
+            ids = theirs.encode(text)
+            assert ours.encode(text) == ids, text
+            if not (squeeze is False and prefix is False):
+                assert ours.decode(ids) == theirs.decode(ids), text
+
+
+def test_models_beyond_reach_are_refused():
+    for extra in (message(2, message(3, 3)), message(1, message(1, "user") + message(3, 4)), message(2, message(3, 1) + message(24, 1))):
+        with pytest.raises(ValueError, match="supported"):
+            pieces.Transducer(small_model(None, True) + extra)
+
+
 def test_encoding_and_decoding_frames(spark, transducer):
     rows = [(1, "hello world", "x"), (2, None, "y"), (3, "", "z"), (3, "", "z"), (4, LONG, "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, back string")
