@@ -18,6 +18,8 @@ START, BODY, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TURN = re.compile(r"(?s)<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>")
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PART_CHARS = 1_000_000
+#: Characters that the tokenizer holds at once, unless a turn is longer; its state takes far more room than its result.
+RUN_CHARS = 50_000
 
 
 def escape(text: str) -> str:
@@ -49,6 +51,29 @@ class Part:
         self.texts.append(f"{head}{body}{END}")
         self.size += len(self.texts[-1])
 
+    def runs(self, chars: int) -> Iterator[str]:
+        """The part in pieces of whole turns, each closed by the turn with which it reaches ``chars``."""
+        own, size = [], 0
+        for text in self.texts:
+            own.append(text)
+            size += len(text)
+            if size >= chars:
+                yield "".join(own)
+                own, size = [], 0
+        if own:
+            yield "".join(own)
+
+
+def tokens(part: Part, made: Tokenizer, chars: int = RUN_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of a part; marks are tokens of their own, so its runs encode as the whole does."""
+    ids, offsets, at = [], [], 0
+    for run in part.runs(chars):
+        code = made.encode(run, add_special_tokens=False)
+        ids.append(np.array(code.ids, dtype=np.int32))
+        offsets.append(np.array(code.offsets, dtype=np.int64).reshape(-1, 2) + at)
+        at += len(run)
+    return np.concatenate(ids), np.concatenate(offsets)
+
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, span_starts: np.ndarray, span_ends: np.ndarray) -> np.ndarray:
     """Which tokens lie in a span; both lists are sorted and tokens do not cross a span's bounds.
@@ -96,31 +121,32 @@ def format_chats(
     Rows are dealt out by conversation, sorted by Spark, which spills, and streamed, so a task holds
     one part at a time however long a conversation is. An empty table gives an empty result.
     """
-    model, roles = Path(tokenizer).read_text(), frozenset(learned)
+    model, roles = encoder(Path(tokenizer).read_text()), frozenset(learned)
+    # a worker keeps what was broadcast, so it reads the model once and not for every task
     shared = turns.sparkSession.sparkContext.broadcast(model)
 
     def encoded(parts: list[Part], made: Tokenizer) -> pa.RecordBatch:
         texts = ["".join(p.texts) for p in parts]
         ids, starts, ends, loss = [], [], [], []
-        for part, code in zip(parts, made.encode_batch(texts, add_special_tokens=False)):
-            offsets = np.array(code.offsets, dtype=np.int64).reshape(-1, 2)
-            ids.append(code.ids)
+        for part in parts:
+            numbers, offsets = tokens(part, made)
+            ids.append(numbers)
             starts.append(offsets[:, 0])
             ends.append(offsets[:, 1])
             spans = (np.array(x, dtype=np.int64) for x in (part.starts, part.ends))
             loss.append(loss_mask(offsets[:, 0], offsets[:, 1], *spans))
-        numbers, places = pa.list_(pa.int32()), pa.list_(pa.int64())
+        whole, places = pa.list_(pa.int32()), pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([p.conversation for p in parts], pa.int64()), pa.array([p.number for p in parts], pa.int32()),
-                pa.array(texts), pa.array(ids, numbers), pa.array(starts, places), pa.array(ends, places),
+                pa.array(texts), pa.array(ids, whole), pa.array(starts, places), pa.array(ends, places),
                 pa.array(loss, pa.list_(pa.bool_())),
             ],
             names=["key", "part", "text", "ids", "starts", "ends", "loss"],
         )
 
     def render(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, ready, room, part = encoder(shared.value), [], part_chars, None
+        made, ready, room, part = shared.value, [], part_chars, None
         for batch in batches:
             for conversation, who, said in zip(*(batch.column(n).to_pylist() for n in ("key", "role", "text"))):
                 if part is None or part.conversation != conversation or part.size >= part_chars:
@@ -147,10 +173,9 @@ def format_chats(
     return rows.mapInArrow(render, kinds).withColumnRenamed("key", key)
 
 
-def masked_texts(text: str, starts: list[int], ends: list[int], loss: list[bool]) -> Iterator[str]:
+def masked_texts(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> Iterator[str]:
     """The unescaped runs of text under the loss mask, in order."""
-    kept = np.array(loss, dtype=bool)
-    lo, hi = np.array(starts, dtype=np.int64)[kept], np.array(ends, dtype=np.int64)[kept]
+    lo, hi = starts[loss], ends[loss]
     if not len(lo):
         return
     # tokens of one character overlap, tokens of one run touch, and between runs there is a mark
@@ -179,9 +204,11 @@ def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
 
         for batch in batches:
             done = []
-            for conversation, number, text, starts, ends, loss in zip(
-                *(batch.column(n).to_pylist() for n in ("key", "part", "text", "starts", "ends", "loss"))
-            ):
+            keys, numbers, texts = (batch.column(n).to_pylist() for n in ("key", "part", "text"))
+            lists = [batch.column(n) for n in ("starts", "ends", "loss")]
+            for row, (conversation, number, text) in enumerate(zip(keys, numbers, texts)):
+                # a row's lists at a time, as arrays: numbers of Python take ten times the room
+                starts, ends, loss = (x[row].values.to_numpy(zero_copy_only=False) for x in lists)
                 if number == 0:
                     if state:
                         done.append(closed())
@@ -198,4 +225,5 @@ def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(closed(), schema)], schema=schema)
 
     kinds = "key long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.withColumnRenamed(key, "key").mapInArrow(digests, kinds).withColumnRenamed("key", key)
+    read = formatted.select(F.col(f"`{key}`").alias("key"), "part", "text", "starts", "ends", "loss")
+    return read.mapInArrow(digests, kinds).withColumnRenamed("key", key)

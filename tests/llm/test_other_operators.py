@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -185,6 +186,27 @@ def test_chats_read_back(spark):
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_tokenizer_holds_a_bounded_run_of_turns(spark):
+    made, held = chat.encoder(Path(chat.TOKENIZER).read_text()), []
+
+    class Recorded:
+        def encode(self, text, **more):
+            held.append(len(text))
+            return made.encode(text, **more)
+
+    turns = [(1, n, "assistant", f"turn {n} 日本 " * 90) for n in range(300)]
+    part = chat.Part(1, 0)
+    for _, _, role, text in turns:
+        part.add(role, text, True)
+    whole = made.encode("".join(part.texts), add_special_tokens=False)
+    ids, offsets = chat.tokens(part, Recorded())
+    assert ids.tolist() == whole.ids and [tuple(x) for x in offsets.tolist()] == whole.offsets
+    assert sum(held) == part.size and max(held) <= chat.RUN_CHARS + 2000 < part.size / 5
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    row = chat.format_chats(df).first()
+    assert row["ids"] == whole.ids and list(zip(row["starts"], row["ends"])) == whole.offsets
+
+
 def vectors(spark, n, d, seed=0, copies=0):
     rng = np.random.default_rng(seed)
     rows = [(k, [float(x) for x in rng.normal(size=d)], "x") for k in range(n)]
