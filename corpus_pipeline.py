@@ -32,7 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the least id.
 
-    Groups are linked by a Jaccard similarity of five-word shingles of 0.8 or more.
+    SimHash fingerprints of five-word shingles, joined by their tries, give the first links; a link
+    stands if the Jaccard similarity of the shingles is 0.8 or more. Pairs that near that differ in too
+    many bits for the tries are found by bands of least hashes and checked in the same way.
     """
     return shingles.keep_one(docs)
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: min-hash candidates, exact checks."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash links by tries, exact checks, bands for the rest."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairshare.llm.graph import components
+from fairshare.llm.simhash import hamming_links, majority
 from fairshare.llm.texts import lower_az, spaced_words
 from fairshare.sources.tables import settle
 
@@ -66,20 +67,22 @@ def parity_map(hashes: np.ndarray) -> np.ndarray:
 
 
 def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, print, d1, d2, size, bands) from (key, print, h): a digest of 128 bits of the set ``h``."""
+    """(key, print, d1, d2, size, fingerprint, bands) from (key, print, h): a digest of 128 bits of the set ``h``."""
     for batch in batches:
         lists = batch.column(2)
         flat = lists.flatten().to_numpy().view(np.uint64)
         sizes = lists.value_lengths().to_numpy()
         digests, bands = np.zeros((len(sizes), 2), np.int64), np.zeros((len(sizes), BANDS), np.uint64)
+        prints = np.zeros(len(sizes), np.int64)
         for k, (end, size) in enumerate(zip(np.cumsum(sizes), sizes)):
             own = np.sort(flat[end - size : end])
             digests[k] = np.frombuffer(blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-            bands[k] = band_keys(own)
+            prints[k], bands[k] = majority(own), band_keys(own)
         ends = np.arange(len(sizes) + 1, dtype=np.int32) * np.int32(BANDS)
         keys = pa.ListArray.from_arrays(ends, bands.ravel().view(np.int64))
-        columns = [batch.column(0), batch.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sizes, pa.int32()), keys]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "print", "d1", "d2", "size", "bands"])
+        columns = [batch.column(0), batch.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sizes, pa.int32())]
+        names = ["key", "print", "d1", "d2", "size", "fingerprint", "bands"]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(prints), keys], names=names)
 
 
 def _maps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +110,20 @@ def _may_be_near(a: str, b: str) -> Column:
     return _sizes_fit(F.col(f"{a}.size"), F.col(f"{b}.size")) & (differ * (NEAR[0] + NEAR[1]) <= most)
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v) of ``nodes`` (node, fingerprint): SimHash groups, each held together by these pairs.
+
+    Fingerprints are linked by the self-join of their tries, at 4 or fewer differing bits; nodes of
+    one fingerprint are paired with the first of them, and so are the firsts of linked fingerprints.
+    """
+    firsts = settle(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "firsts")
+    same = nodes.join(firsts, "fingerprint").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    u = firsts.select(F.col("fingerprint").alias("u"), F.col("first").alias("a"))
+    v = firsts.select(F.col("fingerprint").alias("v"), F.col("first").alias("b"))
+    links = hamming_links(firsts).join(u, "u").join(v, "v")
+    return same.unionByName(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct()
+
+
 def _to_leaders(members: DataFrame, step: int) -> DataFrame:
     """(u, v): every member of a bucket with the bucket's leader, unless they are connected already."""
     # the leader is found on the map side first, so a crowded bucket sends a row per task
@@ -158,16 +175,19 @@ def _near(pairs: DataFrame, sets: DataFrame, maps: DataFrame) -> DataFrame:
     return sides.where(enough).select("u", "v")
 
 
-def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of the nodes that have a near one in a bucket of theirs.
+def linked(members: DataFrame, sets: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the nodes that have a near one in a bucket of theirs or among the pairs ``first``.
 
-    ``members`` has (bucket, node, size), ``sets`` (node, h). Buckets are first checked against
-    one leader each, and once more against another, which connects groups of many copies with few
-    checks; what is still apart in a bucket and may be near is checked pair by pair, so none is
-    passed over.
+    ``members`` has (bucket, node, size), ``sets`` (node, h), ``first`` (u, v). The pairs ``first``
+    are checked before all others. Buckets are then checked against one leader each, and once more
+    against another, which connects groups of many copies with few checks; what is still apart in
+    a bucket and may be near is checked pair by pair, so none is passed over.
     """
     maps = settle(sets.select("node", "h").mapInArrow(_maps, "node long, size int, bits array<long>"), "maps")
     links = roots = None
+    if first is not None:
+        links = settle(_near(first, sets, maps), "near")
+        roots = settle(components(links), "roots")
     for step in range(STARS + 1):
         if roots is None:
             named = members.withColumn("root", F.col("node"))
@@ -184,7 +204,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``docs`` with one row of each group: that with the least key, then the least text hash.
 
     Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are in one
-    group, and so is what such links connect. Candidates are pairs that agree in all
+    group, and so is what such links connect. SimHash fingerprints of the sets, joined by their tries,
+    give the first candidates. Most pairs near 0.8 differ in more bits than tries can bear, so
+    all pairs that these leave apart are candidates too if they agree in all
     ``BAND_ROWS`` least hashes of one of ``BANDS`` bands, which a pair at 0.8 fails to do with odds
     ``(1 - 0.8 ** 5) ** 50``, about 2e-9; every candidate is then checked by its whole sets, so
     no text goes that is not near. Texts without words are equal. A null key takes part but is the
@@ -196,26 +218,28 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         F.xxhash64(F.col(f"`{text}`")).alias("print"),
     )
     body = F.col(f"doc.`{text}`")
-    fields = [("print", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("size", T.IntegerType())]
+    fields = [("print", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("size", T.IntegerType()), ("fingerprint", T.LongType())]
     fields.append(("bands", T.ArrayType(T.LongType())))
     schema = T.StructType([own.schema["key"], *[T.StructField(*f) for f in fields]])
     marked = own.select("key", "print", shingles(body).alias("h")).mapInArrow(_marks, schema)
     marked = settle(marked, "shingles")
     # equal sets, by their digests, are one node; buckets with one node say nothing
-    nodes = marked.select("d1", "d2", "size", "bands").dropDuplicates(["d1", "d2"])
+    nodes = marked.select("d1", "d2", "size", "fingerprint", "bands").dropDuplicates(["d1", "d2"])
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     marked = marked.select("key", "print", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"])
     marked = settle(marked.select("key", "print", "node"), "named")
     members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = settle(members.join(crowded, "bucket"), "buckets")
+    first = settle(fingerprint_pairs(nodes.select("node", "fingerprint")), "fingerprint_pairs")
 
     order = F.struct(F.col("key").isNull().alias("none"), "key", "print")
     same = F.col("d.key").eqNullSafe(F.col("c.key")) & (F.col("d.print") == F.col("c.print"))
-    drawn = marked.join(members.select("node").distinct(), "node", "left_semi")
+    compared = members.select("node").unionByName(first.select(F.explode(F.array("u", "v")).alias("node")))
+    drawn = marked.join(compared.distinct(), "node", "left_semi")
     drawn = drawn.groupBy("node").agg(F.min(order).alias("c")).select("node", "c.key", "c.print")
     sets = own.alias("d").join(drawn.alias("c"), same).select("node", shingles(body).alias("h"))
-    roots = linked(members, settle(sets.dropDuplicates(["node"]), "sets"))
+    roots = linked(members, settle(sets.dropDuplicates(["node"]), "sets"), first)
 
     classed = marked.select("key", "print", "node").join(roots, "node", "left")
     classed = classed.withColumn("root", F.coalesce("root", "node"))

@@ -17,6 +17,7 @@ PIECE_ROWS = 32_768
 NODE_ROWS = 8_192
 DENSE = 64
 CHUNK = 1 << 20
+AT_ONCE = 1 << 14
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
@@ -56,6 +57,15 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataF
     return out.select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns if c != text], "fingerprint")
 
 
+def majority(hashes: np.ndarray) -> np.int64:
+    """The fingerprint of hashes in a task: a bit is set if over half of them set it."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        own = np.unpackbits(hashes[at : at + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+        ones += own.sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0]
+
+
 class Forest:
     """Which of the numbered items are connected so far; ``root`` is fully compressed."""
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fairshare.llm import shingles
+from fairshare.llm import shingles, simhash
 
 
 def shingle_set(text):
@@ -59,6 +59,37 @@ def test_pairs_that_leaders_miss_are_still_checked(spark, monkeypatch, stars):
     assert got == {1: 1, 4: 1, 2: 2, 3: 2}
 
 
+def test_fingerprints_have_the_bits_of_the_majority():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, simhash.AT_ONCE + 5):
+        hashes = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        bits = [2 * int(((hashes >> np.uint64(k)) & np.uint64(1)).sum()) > n for k in range(64)]
+        assert int(simhash.majority(hashes)) % 2**64 == sum(1 << k for k in range(64) if bits[k])
+
+
+def test_tries_over_fingerprints_link_near_copies_without_any_band(spark, monkeypatch):
+    # no two sets share a bucket
+    apart = lambda h: np.bitwise_xor.reduce(h) * np.uint64(64) + np.arange(shingles.BANDS, dtype=np.uint64)
+    monkeypatch.setattr(shingles, "band_keys", apart)
+    rng, texts = np.random.default_rng(2), []
+    for k in range(8):
+        words = [f"w{x}" for x in rng.integers(0, 9000, 3000)]
+        texts += [" ".join(words), " ".join(changed(words, {100 * k}))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == list(range(0, 16, 2))
+
+
+def test_links_of_fingerprints_stand_only_between_near_sets(spark):
+    h = {1: range(0, 100), 2: range(5, 105), 3: range(60, 160), 4: range(300, 400)}
+    sets = spark.createDataFrame([(n, list(x)) for n, x in h.items()], "node long, h array<long>")
+    nodes = spark.createDataFrame([(1, 0), (2, 7), (3, 0), (4, 0)], "node long, fingerprint long")
+    pairs = shingles.fingerprint_pairs(nodes)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2), (1, 3), (1, 4)]
+    none = spark.createDataFrame([], "bucket long, node long, size int")
+    assert {r["node"]: r["root"] for r in shingles.linked(none, sets, pairs).collect()} == {1: 1, 2: 1}
+
+
 def test_near_sets_share_a_band():
     rng = np.random.default_rng(8)
     for n in (9, 90, 900):
